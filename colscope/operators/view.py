@@ -14,11 +14,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.cells import TIME_TYPES, Cell, is_cell_type, stage
 from colscope.functions.numbers import MAX_DOUBLE
 from colscope.functions.text import BLANKS, literal
+from colscope.session import scratch_folder
 from colscope.sources.table import Table
 
 # Operators by column type, their labels, limits and messages.
@@ -427,3 +430,25 @@ def apply_view(table: Table, spec: ViewSpec, types: Sequence[str]) -> Table:
         columns += [df[name].asc() for name in table.order]
         df = df.orderBy(*columns)
     return table.with_df(df.selectExpr(*table.fields, *table.order))
+
+
+def number_rows(df: DataFrame, name: str = "_row_index", start: int = 1) -> DataFrame:
+    """Number the rows of a DataFrame in its order, without bringing them into one task.
+
+    The ordered rows are written to the checkpoint folder once; the sizes of their partitions,
+    one row each, give every partition its offset.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark))
+    placed = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
+    )
+    numbered = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return numbered.withColumn(name, F.col("__offset") + within + F.lit(start)).drop(
+        "__id", "__part", "__offset"
+    )

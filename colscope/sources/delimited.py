@@ -67,7 +67,7 @@ def open_delimited(
     separator = options.separator or detected
     names, width = _layout(head, options, separator, limits)
     if widen == "full":
-        width = max(width, _full_width(spark, path, options, separator, multi_line))
+        width = _full_width(spark, path, options, separator, multi_line, width)
     kept = min(width, limits.max_columns)
     names = names[:kept] + [f"column_{i + 1}" for i in range(len(names), kept)]
 
@@ -157,20 +157,32 @@ def _record_check(record: str, max_record_bytes: int) -> str:
 
 
 def _full_width(
-    spark: SparkSession, path: str, options: DelimitedOptions, separator: str, multi_line: bool
+    spark: SparkSession,
+    path: str,
+    options: DelimitedOptions,
+    separator: str,
+    multi_line: bool,
+    known: int,
 ) -> int:
-    """Largest field count over all records, by one scan. Empty fields count, absent ones do not."""
-    widest = 2000
-    reader = spark.read.schema(_text_schema(widest)).options(**_reader_options(options, separator))
-    reader = reader.options(
-        recursiveFileLookup="true", encoding=options.spark_encoding, header="false",
-        nullValue=NEVER, emptyValue="", multiLine=str(multi_line).lower(),
-    )
-    if options.encoding == "utf16le" and not multi_line:
-        reader = reader.option("lineSep", "\n")
-    fields = ", ".join(f"c{i}" for i in range(widest))
-    counted = reader.csv(path).selectExpr(f"size(filter(array({fields}), f -> f IS NOT NULL)) AS n")
-    return counted.agg(F.max("n")).first()[0] or 0
+    """Largest field count over all records. Empty fields count, absent ones do not.
+
+    One scan with room for twice the known width; only a record that fills it asks for another.
+    """
+    room = max(16, 2 * known)
+    while True:
+        reader = spark.read.schema(_text_schema(room)).options(
+            **_reader_options(options, separator), recursiveFileLookup="true",
+            encoding=options.spark_encoding, header="false", nullValue=NEVER, emptyValue="",
+            multiLine=str(multi_line).lower(),
+        )
+        if options.encoding == "utf16le" and not multi_line:
+            reader = reader.option("lineSep", "\n")
+        fields = ", ".join(f"c{i}" for i in range(room))
+        counted = reader.csv(path).selectExpr(f"size(array_compact(array({fields}))) AS n")
+        found = max(known, counted.agg(F.max("n")).first()[0] or 0)
+        if found < room:
+            return found
+        room *= 4
 
 
 def _read_lines(
