@@ -325,7 +325,7 @@ def _estimates(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     )
     return found.join(share, "name").selectExpr(
         "name", "non_null", "min_number", "max_number", *rounded("mean"),
-        "abs(distinct - exact) <= 0.1 * exact AS distinct_close",
+        "abs(a.`distinct` - exact) <= 0.1 * exact AS distinct_close",
         "below <= 0.53 AND through >= 0.47 AS median_close",
         "aggregate(histogram, 0L, (s, b) -> s + b.count) AS histogram_rows",
     )

@@ -45,7 +45,7 @@ EXACT_VALUES_PER_COLUMN = 512
 EXACT_VALUES_IN_TOTAL = 32_768
 MIN_EXACT_VALUES = 32
 
-GROUP_WEIGHT = 6
+GROUP_WEIGHT = 3
 CONCURRENT_JOBS = 4
 MEDIAN_BUCKETS = 4096
 MEDIAN_GATHER_VALUES = 500_000
@@ -179,21 +179,22 @@ def profile(
     for state in states:
         state.settle_type()
     _date_text_pass(staged, [s for s in states if s.type == "date"])
+    by_frequency, by_sketch = states, []
     if mode == "approx":
-        _finish_sketches(states, metrics)
-    else:
-        by_frequency = states
-        if mode == "auto":
-            limit = 2 * exact_value_limit(len(states))
-            by_frequency = [s for s in states if (s.stats["distinct_estimate"] or 0) <= limit]
-            by_sketch = [s for s in states if (s.stats["distinct_estimate"] or 0) > limit]
-            if by_sketch:
-                _sketch_pass(staged, by_sketch, metrics)
-                _finish_sketches(by_sketch, metrics)
-        _frequency_pass(spark, staged, [s for s in by_frequency if s.type != "empty"], metrics)
-        for state in by_frequency:
-            if state.type == "empty":
-                state.distinct, state.top_values = 0, []
+        by_frequency, by_sketch = [], states
+    elif mode == "auto":
+        limit = 2 * exact_value_limit(len(states))
+        by_sketch = [s for s in states if (s.stats["distinct_estimate"] or 0) > limit]
+        by_frequency = [s for s in states if s not in by_sketch]
+    empty = [s for s in by_frequency if s.type == "empty"]
+    for state in empty:
+        state.distinct, state.top_values = 0, []
+    counted = [s for s in by_frequency if s.type != "empty"]
+    passes = [lambda: _frequency_pass(spark, staged, counted, metrics)]
+    if mode == "auto" and by_sketch:
+        passes.append(lambda: _sketch_pass(staged, by_sketch, metrics))
+    _run_together(spark, [lambda _, run=run: run() for run in passes])
+    _finish_sketches(by_sketch, metrics)
 
     rows = [_profile_row(state, row_count) for state in states]
     profiles = spark.createDataFrame(rows, PROFILE_SCHEMA)
@@ -210,6 +211,13 @@ def profile(
 # -- one wide aggregate -------------------------------------------------------------------------
 
 
+def _run_together(spark: SparkSession, jobs: Sequence[Callable[[None], Any]]) -> list:
+    """Run independent Spark jobs from a few threads and return their results in order."""
+    with ThreadPoolExecutor(min(CONCURRENT_JOBS, len(jobs))) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job), None) for job in jobs]
+        return [job.result() for job in started]
+
+
 def _groups(items: Sequence[Any], cell_of: Callable[[Any], Cell] = lambda s: s.cell) -> list[list]:
     """Split columns into groups whose generated code stays small enough for the JIT compiler.
 
@@ -277,9 +285,9 @@ def _aggregate(
         return row_count
 
     groups = _groups(states)
-    run = inheritable_thread_target(staged.df.sparkSession)(run)
-    with ThreadPoolExecutor(min(CONCURRENT_JOBS, len(groups))) as pool:
-        return list(pool.map(run, groups))[0]
+    return _run_together(
+        staged.df.sparkSession, [lambda _, group=group: run(group) for group in groups]
+    )[0]
 
 
 def _basic_pass(
@@ -491,17 +499,9 @@ def _read_frequencies(
         columns = _result_columns(position="position", value="value", rows="cnt")
         parts.append(top_values(frequencies).selectExpr("'top' AS tag", *columns))
     if numeric:
-        bucketed = _bucketed(frequencies, _bounds(spark, numeric))
-        if "histogram" in metrics:
-            bins = bucketed.groupBy("column_index", "bin").agg(F.expr("sum(rows)").alias("rows"))
-            columns = _result_columns(position="bin", rows="rows")
-            parts.append(bins.selectExpr("'bin' AS tag", *columns))
-        if "median" in metrics:
-            columns = _result_columns(
-                position="rows_before", low="first_value", high="last_value", rows="rows",
-                n_values="n_values",
-            )
-            parts.append(_median_buckets(bucketed).selectExpr("'median' AS tag", *columns))
+        bins = _bins_and_middle(_bucketed(frequencies, _bounds(spark, numeric)))
+        columns = _result_columns(position="bin", rows="rows", middle="middle")
+        parts.append(bins.selectExpr("'bin' AS tag", *columns))
 
     combined = functools.reduce(DataFrame.union, parts)
     found: dict[tuple[str, int], list] = {}
@@ -519,18 +519,18 @@ def _read_frequencies(
             counts = {r["position"]: r["rows"] for r in found[("bin", index)]}
             state.histogram = _binned_histogram(state, counts)
     if "median" in metrics and numeric:
-        brackets = {
-            s.cell.index: sorted(found[("median", s.cell.index)], key=lambda r: r["position"])
+        middles = {
+            s.cell.index: sorted(m for r in found[("bin", s.cell.index)] for m in r["middle"])
             for s in numeric
         }
-        _resolve_medians(frequencies, numeric, brackets)
+        _resolve_medians(frequencies, numeric, middles)
 
 
 def _result_columns(**given: str) -> list[str]:
     """The shared layout of everything read from the frequencies; what is not given is null."""
     layout = {
-        "position": "BIGINT", "value": "STRING", "low": "DOUBLE", "high": "DOUBLE",
-        "rows": "BIGINT", "n_values": "BIGINT",
+        "position": "BIGINT", "value": "STRING", "rows": "BIGINT", "n_values": "BIGINT",
+        "middle": MIDDLE_TYPE,
     }
     return ["column_index"] + [
         f"CAST({given.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in layout.items()
@@ -552,21 +552,30 @@ def _binned_histogram(state: _ColumnState, counts: dict[int, int]) -> list[tuple
 # -- the exact median ---------------------------------------------------------------------------
 
 
-def _median_buckets(bucketed: DataFrame) -> DataFrame:
-    """The one or two buckets that hold the middle ranks, with the rows that lie before them."""
-    buckets = bucketed.groupBy("column_index", "rank_low", "rank_high", "bucket").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("n_values").alias("n_values"),
-        F.min("first_value").alias("first_value"),
-        F.max("last_value").alias("last_value"),
-    )
-    order = Window.partitionBy("column_index").orderBy("bucket")
-    before = F.coalesce(
-        F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+MIDDLE_TYPE = (
+    "ARRAY<STRUCT<rows_before BIGINT, low DOUBLE, high DOUBLE, rows BIGINT, n_values BIGINT>>"
+)
+
+
+def _bins_and_middle(bucketed: DataFrame) -> DataFrame:
+    """Rows per histogram bin, and in it the one or two buckets that hold the middle ranks.
+
+    Buckets and bins both follow the value order, so one window per column serves both; it sees at
+    most a few thousand rows.
+    """
+    order = Window.partitionBy("column_index").orderBy("bucket", "bin")
+    before = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    middle = (
+        "IF(rows_before <= rank_high AND rows_before + rows > rank_low, "
+        "struct(rows_before, first_value AS low, last_value AS high, rows, n_values), NULL)"
     )
-    return buckets.withColumn("rows_before", before).where(
-        (F.col("rows_before") <= F.col("rank_high"))
-        & (F.col("rows_before") + F.col("rows") > F.col("rank_low"))
+    return (
+        bucketed.withColumn("rows_before", F.coalesce(before, F.lit(0)))
+        .groupBy("column_index", "bin")
+        .agg(
+            F.expr(f"collect_list({middle})").alias("middle"),
+            F.expr("sum(rows)").alias("rows"),
+        )
     )
 
 
@@ -607,7 +616,7 @@ def _resolve_medians(
     for state in states:
         rows = found[state.cell.index]
         bracket = _Bracket(
-            state, rows[0]["low"], rows[-1]["high"], rows[0]["position"],
+            state, rows[0]["low"], rows[-1]["high"], rows[0]["rows_before"],
             sum(r["rows"] for r in rows), sum(r["n_values"] for r in rows),
         )
         if bracket.low == bracket.high:
