@@ -33,7 +33,6 @@ from colscope.functions.text import (
 
 # Patterns of typed text and the text of times.
 NUMBER_PATTERN = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-BOOLEAN_PATTERN = r"\A(?i:true|false)\z"
 BLANK_CLASS = "[" + "".join(f"\\x{{{ord(blank):x}}}" for blank in BLANKS) + "]"
 DATE_PATTERN = (
     r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?:T|" + BLANK_CLASS + r")[^\n\r\x{2028}\x{2029}]*)?\z"
@@ -83,8 +82,8 @@ def text_value_type(text: str, candidate: str) -> str:
     return (
         f"CASE WHEN {text} IS NULL THEN NULL WHEN {candidate} IS NULL THEN 'text' "
         f"WHEN {candidate} RLIKE {literal(NUMBER_PATTERN)} THEN 'number' "
-        f"WHEN {candidate} RLIKE {literal(BOOLEAN_PATTERN)} THEN 'boolean' "
-        f"WHEN {candidate} RLIKE {literal(DATE_PATTERN)} "
+        f"WHEN length({candidate}) <= 5 AND lower({candidate}) IN ('true', 'false') THEN 'boolean' "
+        f"WHEN substring({candidate}, 5, 1) = '-' AND {candidate} RLIKE {literal(DATE_PATTERN)} "
         f"AND TRY_CAST({candidate} AS TIMESTAMP) IS NOT NULL THEN 'date' ELSE 'text' END"
     )
 
@@ -147,9 +146,14 @@ class Cell:
     units: str = NO_UNITS
     only_type: str | None = None
 
+    @property
+    def decided_by_value(self) -> bool:
+        """Whether the value type is decided value by value."""
+        return self.vtype.startswith("__cell_")
+
     @property
     def present(self) -> str:
-        return f"({self.vtype}) IS NOT NULL"
+        return f"({self.text if self.decided_by_value else self.vtype}) IS NOT NULL"
 
 
 def key_value_text(code: str, text: str, num: str) -> str:

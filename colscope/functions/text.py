@@ -57,6 +57,11 @@ def rarely(condition: str, value: str, rare: str, common: str) -> str:
     return f"IF({condition}, transform(array({value}), t -> {rare})[0], {common})"
 
 
+def exceeds_units(text: str, limit: int) -> str:
+    """Whether a text has more than ``limit`` units; code points alone decide for most."""
+    return f"(length({text}) > {limit} OR {utf16_units(text)} > {limit})"
+
+
 def cut_text(text: str, limit: int) -> str:
     """Shorten text of more than ``limit`` units to exactly ``limit``, marker included.
 
@@ -64,21 +69,21 @@ def cut_text(text: str, limit: int) -> str:
     for longer ones. A surrogate pair split by the cut leaves one replacement character.
     """
     keep = limit - len(CUT_MARKER)
-    units = "encode(t, 'UTF-16LE')"
+    units = f"encode(substring(t, 1, {keep}), 'UTF-16LE')"
     high_byte = f"CAST(conv(hex(substring({units}, {2 * keep}, 1)), 16, 10) AS INT)"
     head = (
-        f"CASE WHEN octet_length(t) = length(t) THEN substring(t, 1, {keep}) "
+        f"CASE WHEN octet_length(substring(t, 1, {keep})) = {keep} THEN substring(t, 1, {keep}) "
         f"WHEN {high_byte} BETWEEN 216 AND 219 "
         f"THEN concat(decode(substring({units}, 1, {2 * keep - 2}), 'UTF-16LE'), '\\ufffd') "
         f"ELSE decode(substring({units}, 1, {2 * keep}), 'UTF-16LE') END"
     )
-    rare = f"IF({utf16_units('t')} > {limit}, concat({head}, {literal(CUT_MARKER)}), t)"
+    rare = f"IF({exceeds_units('t', limit)}, concat({head}, {literal(CUT_MARKER)}), t)"
     return rarely(f"octet_length({text}) > {limit}", text, rare, text)
 
 
 def long_text_digest(text: str, limit: int) -> str:
     """SHA-256 of a text longer than ``limit`` units, else null."""
-    rare = f"IF({utf16_units('t')} > {limit}, sha2(t, 256), NULL)"
+    rare = f"IF({exceeds_units('t', limit)}, sha2(t, 256), NULL)"
     return rarely(f"octet_length({text}) > {limit}", text, rare, "CAST(NULL AS STRING)")
 
 

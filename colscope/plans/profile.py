@@ -27,7 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.functions.cells import Cell, StagedCells, iso_text, key_value_text, stage
+from colscope.functions.cells import (
+    NO_NUMBER,
+    Cell,
+    StagedCells,
+    iso_text,
+    key_value_text,
+    stage,
+)
 from colscope.operators.quality import quality_warnings
 from colscope.plans.aggregates import (
     TOP_VALUES,
@@ -226,7 +233,7 @@ def _groups(items: Sequence[Any], cell_of: Callable[[Any], Cell] = lambda s: s.c
     groups: list[list] = [[]]
     weight = 0
     for item in items:
-        cost = 3 if cell_of(item).vtype.startswith("__cell_") else 1
+        cost = 3 if cell_of(item).decided_by_value else 1
         if weight + cost > GROUP_WEIGHT and groups[-1]:
             groups.append([])
             weight = 0
@@ -370,17 +377,24 @@ def _ranked_histogram(
 # -- the frequency plan -------------------------------------------------------------------------
 
 
-def frequency_table(staged: StagedCells, cells: Sequence[Cell]) -> DataFrame:
+def frequency_table(
+    staged: StagedCells, cells: Sequence[Cell], with_numbers: Collection[int] | None = None
+) -> DataFrame:
     """One row per distinct value: ``(column_index, code, text, digest, num, cnt)``.
 
     Long texts travel as a short form plus digest, so shuffle keys stay small whatever the data
-    holds, and a frequent value is folded before the shuffle by partial aggregation.
+    holds, and a frequent value is folded before the shuffle by partial aggregation. Text columns
+    outside ``with_numbers`` (column positions, all by default) skip the parsing of numbers.
     """
+    def number(cell: Cell) -> str:
+        skipped = cell.decided_by_value and with_numbers is not None and cell.index not in with_numbers
+        return NO_NUMBER if skipped else cell.key[3]
+
     parts = []
     for group in _groups(cells, lambda cell: cell):
         keyed = [
             f"IF({c.present}, struct({c.key[0]} AS code, {c.key[1]} AS text, {c.key[2]} AS digest, "
-            f"{c.key[3]} AS num), NULL) AS `{c.index}`"
+            f"{number(c)} AS num), NULL) AS `{c.index}`"
             for c in group
         ]
         parts.append(
@@ -472,7 +486,8 @@ def _frequency_pass(
     if not wanted:
         return
     # Several small plans read the frequencies. Lost cached blocks are rebuilt from the shuffle.
-    frequencies = frequency_table(staged, [s.cell for s in wanted]).persist(
+    with_numbers = {s.cell.index for s in numeric}
+    frequencies = frequency_table(staged, [s.cell for s in wanted], with_numbers).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
