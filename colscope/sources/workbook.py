@@ -60,7 +60,7 @@ def archive_entries(files: DataFrame) -> DataFrame:
                         "compressed": entry.compress_size, "uncompressed": entry.file_size,
                         "encrypted": bool(entry.flag_bits & 1), "error": None,
                     }
-        except (zipfile.BadZipFile, OSError) as error:
+        except (zipfile.BadZipFile, OSError, ValueError) as error:
             yield {"path": uri, "position": 0, "error": str(error)}
 
     return per_file(files, read, ENTRY_SCHEMA)
