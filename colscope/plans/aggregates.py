@@ -8,7 +8,7 @@ from colscope.functions.cells import TIME_TYPES, Cell, iso_text
 from colscope.functions.numbers import number_text
 
 VALUE_TYPES = ("number", "boolean", "date", "text")
-DISTINCT_ERROR = 0.02
+DISTINCT_ERROR = 0.04
 SKETCH_K = 400
 TOP_VALUES = 5
 

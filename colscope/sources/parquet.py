@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colscope.functions.text import literal
 from colscope.options import Limits
@@ -30,8 +32,6 @@ def open_parquet(spark: SparkSession, path: str, limits: Limits | None = None) -
     table = Table.from_dataframe(
         ordered, order=ORDER, format="PARQUET", path=path, size_bytes=source_bytes(spark, path)
     )
-    from dataclasses import replace
-
     return replace(table, total_columns=len(df.columns))
 
 
@@ -78,12 +78,10 @@ def footer_audit(
         listed = ", ".join(map(literal, columns)) or "NULL"
         chosen = f"{covered} AND column IN ({listed})"
     totals = footers.groupBy("path").agg(
-        *_sql(
-            "max(rows_before + rows) AS rows",
-            f"coalesce(sum(IF({chosen}, uncompressed, 0)), 0) AS expanded_bytes",
-            f"count_if({covered} AND rows < 0) AS bad_groups",
-            f"count_if({chosen} AND uncompressed < 0) AS bad_chunks",
-        )
+        F.expr("max(rows_before + rows)").alias("rows"),
+        F.expr(f"coalesce(sum(IF({chosen}, uncompressed, 0)), 0)").alias("expanded_bytes"),
+        F.expr(f"count_if({covered} AND rows < 0)").alias("bad_groups"),
+        F.expr(f"count_if({chosen} AND uncompressed < 0)").alias("bad_chunks"),
     )
     limit = literal(f"exceeds the {max_bytes / (1024 * 1024):.1f} MB uncompressed safety limit")
     reason = (
@@ -95,9 +93,3 @@ def footer_audit(
         "path", "rows", "expanded_bytes",
         f"IF({reason} IS NULL, 'accepted', 'rejected') AS verdict", f"{reason} AS reason",
     )
-
-
-def _sql(*expressions: str):
-    from pyspark.sql import functions as F
-
-    return [F.expr(expression) for expression in expressions]

@@ -7,6 +7,7 @@ parallelism comes from many files. Files the audit rejects are never expanded.
 from __future__ import annotations
 
 import datetime as dt
+import io
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,40 @@ ROW_SCHEMA = (
 )
 
 
+class _ArchiveStream(io.RawIOBase):
+    """A random-access stream that reports impossible positions as the zip reader expects."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.stream.tell()
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        try:
+            self.stream.seek(offset, whence)
+        except ValueError as error:
+            raise OSError(str(error)) from error
+        return self.stream.tell()
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def _open_archive(stream):
+    import zipfile
+
+    return zipfile.ZipFile(io.BufferedReader(_ArchiveStream(stream)))
+
+
 # -- archive audit ------------------------------------------------------------------------------
 
 
@@ -53,7 +88,7 @@ def archive_entries(files: DataFrame) -> DataFrame:
         import zipfile
 
         try:
-            with open_random_access(uri) as stream, zipfile.ZipFile(stream) as archive:
+            with open_random_access(uri) as stream, _open_archive(stream) as archive:
                 for position, entry in enumerate(archive.infolist(), 1):
                     yield {
                         "path": uri, "position": position, "name": entry.filename,
@@ -207,10 +242,9 @@ def _cell(element, shared: list[str], dated: set[int], from_1904: bool) -> dict
 
 def read_workbook(uri: str) -> Iterator[dict]:
     """Non-empty rows of every sheet. ``width`` is the last used column, beyond the kept ones too."""
-    import zipfile
     from xml.etree import ElementTree
 
-    with open_random_access(uri) as stream, zipfile.ZipFile(stream) as archive:
+    with open_random_access(uri) as stream, _open_archive(stream) as archive:
         shared = []
         if "xl/sharedStrings.xml" in archive.namelist():
             for _, element in ElementTree.iterparse(archive.open("xl/sharedStrings.xml")):

@@ -10,25 +10,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from colscope.functions.cells import StagedCells, iso_text, key_value_text, stage
+from colscope.functions.text import literal
 from colscope.operators.quality import quality_warnings
 from colscope.plans.aggregates import DISTINCT_ERROR, SKETCH_K, TOP_VALUES
 from colscope.plans.profile import top_values
 
-COLUMN_FIELDS = ("vtype", "num", "instant", "units")
-
-
-def _long_cells(staged: StagedCells, keyed: bool) -> DataFrame:
+def _long_cells(staged: StagedCells) -> DataFrame:
     """One row per cell: ``column_index`` and the fields of the cell, null when missing."""
     packed = []
     for cell in staged.cells:
         code, text, digest, num = cell.key
-        key = f", {code} AS code, {text} AS shown, {digest} AS digest, {num} AS key_num" if keyed else ""
         packed.append(
             f"struct({cell.vtype} AS vtype, {cell.num} AS num, {cell.instant} AS instant, "
-            f"{cell.units} AS units{key}) AS `{cell.index}`"
+            f"{cell.units} AS units, {code} AS code, {text} AS shown, {digest} AS digest, "
+            f"{num} AS key_num) AS `{cell.index}`"
         )
     long = staged.df.selectExpr(*packed).unpivot(
         [], [str(c.index) for c in staged.cells], "column_index", "cell"
@@ -37,8 +35,6 @@ def _long_cells(staged: StagedCells, keyed: bool) -> DataFrame:
 
 
 def _names(columns: list[str]) -> str:
-    from colscope.functions.text import literal
-
     return f"element_at(array({', '.join(map(literal, columns))}), column_index + 1)"
 
 
@@ -47,7 +43,7 @@ def stream_profile(df: DataFrame) -> DataFrame:
 
     Use output mode ``complete`` or ``update``. Works on batch DataFrames too, with equal results.
     """
-    cells = _long_cells(stage(df), keyed=True)
+    cells = _long_cells(stage(df))
     shown = key_value_text("code", "shown", "key_num")
     grouped = cells.groupBy("column_index").agg(
         F.expr("count(1)").alias("row_count"),
@@ -106,7 +102,7 @@ def stream_frequencies(df: DataFrame) -> DataFrame:
     The state holds every distinct value, spread over the shuffle partitions. For unbounded
     streams of unbounded values use ``stream_top_values``.
     """
-    cells = _long_cells(stage(df), keyed=True).where("vtype IS NOT NULL")
+    cells = _long_cells(stage(df)).where("vtype IS NOT NULL")
     return (
         cells.selectExpr("column_index", "code", "shown AS text", "digest", "key_num AS num")
         .groupBy("column_index", "code", "text", "digest", "num")
@@ -117,7 +113,7 @@ def stream_frequencies(df: DataFrame) -> DataFrame:
 def stream_top_values(df: DataFrame, count: int = TOP_VALUES) -> DataFrame:
     """Running approximate top values ``(column_index, name, position, value, count)``; the state
     is one sketch per column."""
-    cells = _long_cells(stage(df), keyed=True).where("vtype IS NOT NULL")
+    cells = _long_cells(stage(df)).where("vtype IS NOT NULL")
     shown = key_value_text("code", "shown", "key_num")
     top = cells.groupBy("column_index").agg(F.expr(f"approx_top_k({shown}, {count})").alias("top"))
     return top.selectExpr(
@@ -148,6 +144,26 @@ def on_warnings(
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start()
 
 
+class RowCounter(StreamingQueryListener):
+    """Rows read by each query over its whole life; register with ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        identity = str(event.progress.id)
+        self.rows[identity] = self.rows.get(identity, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def rows_processed(query: StreamingQuery) -> int:
-    """Rows a streaming query has read so far, over its recent progress."""
+    """Rows a streaming query has read, over the progress reports it keeps (100 by default)."""
     return sum(progress["numInputRows"] for progress in query.recentProgress)

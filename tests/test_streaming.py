@@ -1,9 +1,11 @@
+import time
+
 from pyspark.sql import functions as F
 
 from colscope.plans.profile import profile
 from colscope.plans.progress import count_rows
 from colscope.streaming.profiles import (
-    on_warnings, rows_processed, stream_frequencies, stream_profile, top_of_frequencies,
+    RowCounter, on_warnings, rows_processed, stream_frequencies, stream_profile, top_of_frequencies,
 )
 
 
@@ -20,12 +22,20 @@ def test_running_profile_equals_batch(spark, tmp_path):
     drop_files(spark, folder, 3)
     schema = "value bigint, grp string, gaps string"
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part-*")
+    counter = RowCounter()
+    spark.streams.addListener(counter)
     query = (
         stream_profile(source).writeStream.outputMode("complete").format("memory").queryName("running")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
     assert rows_processed(query) == 300
+    for _ in range(50):
+        if counter.rows.get(str(query.id)) == 300:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counter)
+    assert counter.rows[str(query.id)] == 300
     found = {r["name"]: r for r in spark.table("running").collect()}
     for p in profile(spark.read.schema(schema).parquet(f"{folder}/part-*")).profiles.collect():
         row = found[p.name]
