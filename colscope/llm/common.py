@@ -79,3 +79,10 @@ def unit(*columns: Column, seed: int) -> Column:
     """A number strictly between 0 and 1 that depends on the columns and the seed alone."""
     bits = F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 52) - 1))
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def sampled_ids(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """About ``most`` of the distinct ``doc_id``, chosen by hash; all of them where there are fewer."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    share = most / max(most, ids.count())
+    return ids.filter(unit(F.col("doc_id"), seed=seed) < share)

@@ -125,6 +125,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
 
 
+def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are; rows without id stay, of repeated rows one stays."""
+    kept = near_duplicates(docs, settings).filter("kept").select("doc_id").distinct()
+    found = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    if not docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "text"])
+    return found.union(docs.filter("doc_id IS NULL"))
+
+
 def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     """Set size, 128-bit digest of the set, one token byte per position, and the root's children."""
     roots = settings.roots

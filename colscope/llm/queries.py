@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from colscope.llm import neardup
+from colscope.llm import (
+    bpe, decontaminate, fixity, language, neardup, preference, quality, resampling, secret_scan, sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +35,137 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op8_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     settings = neardup.Settings(words=3, percent=85)
     return neardup.near_duplicates(table(spark, folder, "documents"), settings)
+
+
+@register("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN).selectExpr(
+        "doc_id", "CAST(octet_length(ids) / 4 AS LONG) AS n_tokens",
+        "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256",
+    )
+
+
+@register("op2_certified_rules")
+def op2_certified_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "failed_rules",
+    )
+
+
+@register("op9_contiguous_shards")
+def op9_contiguous_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.contiguous_shards(table(spark, folder, "documents"), shards=8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@register("op10_rank_order_language")
+def op10_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.learn(language.training_part(docs)))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op1_pigeonhole_decontamination")
+def op1_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.expr("matches.item_id").alias("item_ids"),
+        F.expr("matches.distance").alias("distances"),
+    )
+
+
+#: A page as a WARC record. Page 97k + 5 is damaged in the replica, page 211k + 7 is lost from it.
+RECORD = (
+    "concat('WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: ', coalesce(url, ''), '\r\nContent-Type: text/html\r\n"
+    "Content-Length: ', CAST(octet_length(encode({html}, 'UTF-8')) AS STRING), '\r\n\r\n', {html}, '\r\n\r\n')"
+)
+PAGES_PER_ARCHIVE = 500
+
+
+def archived(pages: DataFrame) -> DataFrame:
+    """``archive, offset, record, page_id, damaged``: runs of page ids as archives of WARC records."""
+    html = "coalesce(html, '')"
+    records = pages.selectExpr(
+        "page_id", f"CAST(floor(page_id / {PAGES_PER_ARCHIVE}) AS LONG) AS archive",
+        f"encode({RECORD.format(html=html)}, 'UTF-8') AS record",
+        f"encode({RECORD.format(html=f'translate({html}, chr(60), chr(62))')}, 'UTF-8') AS damaged",
+    )
+    earlier = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = records.select("page_id", "archive", F.octet_length("record").alias("size"))
+    offsets = sizes.select("page_id", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    return records.join(offsets, "page_id")
+
+
+@register(
+    "op3_merkle_fixity",
+    "WITH r AS (SELECT page_id, CAST(floor(page_id / 500) AS BIGINT) AS archive, "
+    "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || "
+    "'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || "
+    "coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record, html FROM pages), "
+    'o AS (SELECT *, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM r) '
+    "SELECT CAST(archive AS VARCHAR) AS archive, CAST(\"offset\" AS BIGINT) AS \"offset\", CAST(length AS BIGINT) AS length, "
+    "CASE WHEN page_id % 211 = 7 THEN 'missing' WHEN page_id % 97 = 5 AND html LIKE '%<%' THEN 'corrupt' ELSE 'match' END AS status FROM o",
+)
+def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as archives, compared with a replica in which some records are damaged or lost."""
+    archives = archived(table(spark, folder, "pages"))
+    held = F.when(F.col("page_id") % 97 == 5, F.col("damaged")).otherwise(F.col("record"))
+    replica = archives.filter("page_id % 211 <> 7").select("archive", "offset", held.alias("record"))
+    return fixity.audit(archives.select("archive", "offset", "record"), replica)
+
+
+@register("op4_importance_resampling")
+def op4_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.sample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", F.round("log_weight", 4).alias("log_weight"), "kept")
+
+
+def _rendered(name: str, where: str) -> str:
+    head = "'<|' || coalesce(role, 'unknown') || '|>' || chr(10)"
+    body = "replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>'"
+    return (
+        f"{name} AS (SELECT conv_id, string_agg({head} || {body} || chr(10), '' ORDER BY turn) AS t, "
+        f"string_agg(CASE WHEN role = 'assistant' THEN (at + length({head})) || ':' || (at + length({head}) + length({body})) END, ',' ORDER BY turn) AS mask "
+        f"FROM (SELECT *, coalesce(sum(length({head} || {body}) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM {where}) GROUP BY conv_id)"
+    )
+
+
+@register(
+    "op5_preference_format",
+    "WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id), "
+    "answers AS (SELECT conv_id, turn, text FROM last JOIN conversations USING (conv_id, turn)), "
+    "other AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.turn = m.turn AND o.text IS NOT NULL THEN o.text ELSE c.text END AS text "
+    "FROM conversations c LEFT JOIN answers m ON m.conv_id = c.conv_id LEFT JOIN answers o ON o.conv_id = c.conv_id + 1 - 2 * (c.conv_id % 2)), "
+    "cut AS (SELECT c.conv_id, count(*) AS turns, min(CASE WHEN c.text <> r.text THEN c.turn END) AS at FROM conversations c JOIN other r USING (conv_id, turn) GROUP BY c.conv_id), "
+    + _rendered("p", "(SELECT c.* FROM conversations c JOIN cut USING (conv_id) WHERE at IS NULL OR turn < at)") + ", "
+    + _rendered("c", "(SELECT c.* FROM conversations c JOIN cut USING (conv_id) WHERE turn >= at)") + ", "
+    + _rendered("r", "(SELECT c.* FROM other c JOIN cut USING (conv_id) WHERE turn >= at)")
+    + ", n AS (SELECT cut.conv_id, count(*) AS k FROM cut JOIN conversations c ON c.conv_id = cut.conv_id AND (at IS NULL OR c.turn < at) GROUP BY cut.conv_id) "
+    "SELECT cut.conv_id AS pair_id, CAST(coalesce(n.k, 0) AS INTEGER) AS prefix_turns, coalesce(p.t, '') AS prompt, coalesce(c.t, '') AS chosen, coalesce(r.t, '') AS rejected, "
+    "coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask, c.mask IS NOT NULL AND r.mask IS NOT NULL AS usable "
+    "FROM cut LEFT JOIN n USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN c USING (conv_id) LEFT JOIN r USING (conv_id)",
+)
+def op5_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    chosen, rejected = (
+        x.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text") for x in (turns, preference.with_neighbours_answer(turns))
+    )
+    text = "array_join(transform({0}, x -> concat(x.start, ':', x.end)), ',') AS {0}"
+    return preference.format_preferences(chosen, rejected).selectExpr(
+        "pair_id", "prefix_turns", "prompt", "chosen", "rejected", text.format("chosen_mask"), text.format("rejected_mask"), "usable"
+    )
+
+
+@register("op7_markov_secrets")
+def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secret_scan.find(docs, secret_scan.train(docs, table(spark, folder, "labels")))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
