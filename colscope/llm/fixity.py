@@ -85,9 +85,9 @@ def _records(left: DataFrame, right: DataFrame, open_nodes: DataFrame) -> DataFr
         x.filter("open").groupBy("archive", "offset").agg(F.array_sort(F.collect_list(F.struct("sha256", "length"))).alias(side))
         for x, side in ((left, "ours"), (right, "theirs"))
     ]
-    pairs = listed[0].join(listed[1], ["archive", "offset"], "full").select(
-        "archive", "offset", F.explode(F.arrays_zip(_or_empty("ours"), _or_empty("theirs"))).alias("x")
-    )
+    met = listed[0].join(listed[1], ["archive", "offset"], "full")
+    met = met.select("archive", "offset", _or_empty("ours").alias("ours"), _or_empty("theirs").alias("theirs"))
+    pairs = met.select("archive", "offset", F.explode(F.arrays_zip("ours", "theirs")).alias("x"))
     ours, theirs = F.col("x.ours"), F.col("x.theirs")
     status = (
         F.when(theirs.isNull(), "missing").when(ours.isNull(), "extra")

@@ -43,13 +43,13 @@ def ladder(lenient: float, strict: float, steps: int = 60) -> tuple[float, ...]:
 
 #: Score and ladder of each rule. A document is rejected where its score exceeds the cutoff.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / word_chars", ladder(0.5, 0.001)),
-    "marks": ("n_marks / word_chars", ladder(0.5, 0.001)),
-    "capitals": ("n_capitals / word_chars", ladder(0.95, 0.05)),
-    "copied_lines": ("n_dup_lines / n_lines", ladder(0.95, 0.02)),
-    "repeated_words": ("n_repeat_words / n_words", ladder(0.95, 0.01)),
-    "long_words": ("word_chars / n_words", ladder(60, 5)),
-    "short_words": ("n_words / word_chars", ladder(0.95, 0.15)),
+    "symbols": ("n_symbols / nullif(word_chars, 0)", ladder(0.5, 0.001)),
+    "marks": ("n_marks / nullif(word_chars, 0)", ladder(0.5, 0.001)),
+    "capitals": ("n_capitals / nullif(word_chars, 0)", ladder(0.95, 0.05)),
+    "copied_lines": ("n_dup_lines / nullif(n_lines, 0)", ladder(0.95, 0.02)),
+    "repeated_words": ("n_repeat_words / nullif(n_words, 0)", ladder(0.95, 0.01)),
+    "long_words": ("word_chars / nullif(n_words, 0)", ladder(60, 5)),
+    "short_words": ("n_words / nullif(word_chars, 0)", ladder(0.95, 0.15)),
 }
 
 

@@ -1,7 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of good and of all text, Gumbel top-k.
 
-Words in lower case and pairs of neighbouring words are hashed into ``BUCKETS``; a pair of equal words
-counts as one n-gram of its own. The target model counts the n-grams of ``TARGET``
+Words in lower case and pairs of neighbouring words are hashed into ``BUCKETS``; a pair that ends a run
+of four or more equal words counts as one n-gram of its own, whatever the word. A document counts a
+bucket once, so that words which one text repeats do not pass for a trait of many. The target model counts the n-grams of ``TARGET``
 documents labelled good (quality 1, not toxic), the raw model those of all documents. Each bucket's log ratio is smoothed by
 ``PRIOR`` expected counts and drawn towards zero by ``DEAD``, so that differences which chance or the
 mix of languages can make have no weight. A document's log weight is the sum over its n-grams; above
@@ -28,11 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colscope.llm.common import id_and_text, map_rows, mix, pieces, sampled_ids, save, unit
 
 BUCKETS = 1 << 18
-PRIOR, DEAD = 8.0, 0.4
+PRIOR, DEAD = 8.0, 0.5
 SHARP, PRICE, SEED = 4.0, 20.0, 77
 #: Documents that the target model counts, about, at most.
 TARGET = 200_000
@@ -42,12 +44,13 @@ SAME = np.uint64(0x2545F4914F6CDD1D)
 
 
 def buckets(text: bytes | None) -> np.ndarray:
-    """The bucket of every word and word pair of a text."""
+    """The buckets of the words and word pairs of a text, each once."""
     words = [] if text is None else text.lower().split()
     ones = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     pairs = mix(ones[:-1] * np.uint64(0x9E3779B97F4A7C15) + ones[1:])
-    pairs[ones[:-1] == ones[1:]] = SAME
-    return (np.concatenate([ones, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
+    equal = ones[:-1] == ones[1:]
+    pairs[2:][equal[2:] & equal[1:-1] & equal[:-2]] = SAME
+    return np.unique((np.concatenate([ones, pairs]) % np.uint64(BUCKETS)).astype(np.int64))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -58,17 +61,17 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log ratio of each bucket. What reaches the driver has ``BUCKETS`` rows at most."""
+    """The log ratio of each bucket. What reaches the driver has ``BUCKETS`` + 1 rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros((2, BUCKETS + 1), np.int64)  # the last place counts documents
         for batch in batches:
             for part in pieces(batch):
                 for text, good in zip(part["text"].to_pylist(), part["good"].to_pylist()):
-                    found = buckets(text)
-                    np.add.at(counts[1], found, 1)
+                    found = np.append(buckets(text), BUCKETS)
+                    counts[1, found] += 1
                     if good:
-                        np.add.at(counts[0], found, 1)
+                        counts[0, found] += 1
         where = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(where), pa.array(counts[0][where]), pa.array(counts[1][where])], names=["bucket", "target", "raw"]
@@ -77,13 +80,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     good = sampled_ids(good_ids(labels).filter("good"), TARGET, SEED).withColumn("good", F.lit(True))
     marked = id_and_text(docs).join(F.broadcast(good), "doc_id", "left").select("text", "good")
     found = marked.mapInArrow(run, "bucket long, target long, raw long").groupBy("bucket")
-    counts = np.zeros((3, BUCKETS))
-    for batch in [found.agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()]:
-        counts[1:, batch["bucket"].to_numpy()] = batch["target"].to_numpy(), batch["raw"].to_numpy()
-    target, raw = counts[1], counts[2]
-    if not target.sum():
+    summed = found.agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
+    table = np.zeros((2, BUCKETS + 1))
+    table[:, summed["bucket"].to_numpy()] = summed["target"].to_numpy(), summed["raw"].to_numpy()
+    counts, sizes = table[:, :BUCKETS], dict(zip(("target", "raw"), table[:, BUCKETS]))
+    target, raw = counts
+    if not sizes["target"]:
         return np.zeros(BUCKETS)
-    expected = raw * (target.sum() / raw.sum())
+    expected = raw * (sizes["target"] / sizes["raw"])
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
     return np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD, 0.0)
 
@@ -175,5 +179,5 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 weights = pa.array([log_weight(t, table.value) for t in texts], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, weights], names=[*part.schema.names, extra])
 
-    weighed = docs.mapInArrow(run, docs.schema.add(extra, "double"))
+    weighed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(extra, DoubleType())]))
     return weighed.filter(key_of(extra) >= least).drop(extra)
