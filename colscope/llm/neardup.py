@@ -162,21 +162,20 @@ def similar_classes(docs: DataFrame, classes: DataFrame, settings: Settings) ->
     small = _of_nodes(members, sizes.filter(F.col("n") <= settings.node_limit))
     large = save(_of_nodes(members, sizes.filter(F.col("n") > settings.node_limit), "n"), "large")
     proposed = save(_pairs_in_small(small, settings).union(_pairs_with_pivots(large, settings)).distinct(), "pairs")
-    ids = large.select("id").union(proposed.select("a")).union(proposed.select("b")).distinct()
-    sets = save(_full_sets(docs, ids, settings), "sets")  # later pairs are among the sets of large nodes
-    links, level = save(_confirmed(proposed, sets, settings), "links"), 0
+    links, level = save(_confirmed(docs, proposed, settings), "links"), 0
     parts = connected_components(links)
     while not large.isEmpty() and level < POSITIONS:
         named, counts = _unresolved(large, parts)
-        few = F.col("outside") <= (settings.outsiders[0] if level < settings.early else settings.outsiders[1])
-        more = save(_links_of_outsiders(named, counts.filter(few), sets, settings), "links")
+        early = (F.col("outside") <= settings.outsiders[0]) & (2 * F.col("outside") <= F.col("n"))
+        few = early if level < settings.early else F.col("outside") <= settings.outsiders[1]
+        more = save(_links_of_outsiders(docs, named, counts.filter(few), settings), "links")
         members = save(_branch(_of_nodes(named, counts.filter(~few)), level, settings), "members")
         sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         small = _of_nodes(members, sizes.filter(F.col("n") <= settings.node_limit))
         large = save(_of_nodes(members, sizes.filter(F.col("n") > settings.node_limit), "n"), "large")
         if not members.isEmpty():
             proposed = _pairs_in_small(small, settings).union(_pairs_with_pivots(large, settings)).distinct()
-            more = save(more.union(_confirmed(save(proposed, "pairs"), sets, settings)), "links")
+            more = save(more.union(_confirmed(docs, save(proposed, "pairs"), settings)), "links")
         if not more.isEmpty():
             links = save(links.union(more), "links")
             parts = connected_components(links)
@@ -217,13 +216,14 @@ def _pairs_with_pivots(members: DataFrame, settings: Settings) -> DataFrame:
     return _compared(members, save(pivots, "pivots"), settings)
 
 
-def _links_of_outsiders(named: DataFrame, counts: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _links_of_outsiders(docs: DataFrame, named: DataFrame, counts: DataFrame, settings: Settings) -> DataFrame:
     """Links across components in nodes where the sets outside the largest component are few enough.
 
     Every outsider meets every set of its node in full. Both sides come in blocks of bounded size; a
     pair of blocks is one row, compared by a product of incidence matrices.
     """
-    members = _of_nodes(named, counts, "main").join(sets, "id")
+    members = save(_of_nodes(named, counts, "main"), "outsiders")
+    members = members.drop("tag").join(_full_sets(docs, members.select("id"), settings), "id")
     weights = members.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
     split = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     members = members.join(weights.select("node", split.alias("blocks")), "node")
@@ -290,17 +290,21 @@ def _compared(members: DataFrame, others: DataFrame, settings: Settings) -> Data
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    wanted = id_and_text(docs).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    """``id, shingles`` for the given ids. They are written first, so that few of them cost no shuffle of texts."""
+    ids = save(ids.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    wanted = id_and_text(docs).join(ids, "doc_id", "left_semi")
 
     def rows(batch: dict) -> Iterable[tuple]:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             yield doc_id, shingles(text, settings.words).view(np.int64).tolist()
 
-    return map_rows(wanted, "id long, shingles array<long>", rows)
+    return save(map_rows(wanted, "id long, shingles array<long>", rows), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     """The pairs whose full sets meet the threshold, in whole numbers."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    sets = _full_sets(docs, ids, settings)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
