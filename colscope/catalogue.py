@@ -154,6 +154,18 @@ def profile_distinct_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LONG_TEXT = "CONCAT(repeat('abc ', 30000), CAST(s_suppkey % 20 AS VARCHAR(20)))"
+
+
+@register("profile_distinct_long_texts", _each(f"(SELECT {LONG_TEXT} AS long_text FROM supplier)", ["long_text"], DISTINCT_SQL))
+def profile_distinct_long_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of more than 100 000 characters that differ at their end only."""
+    df = load(spark, folder, "supplier", f"{LONG_TEXT} AS long_text")
+    return profile(df, metrics={"distinct"}).profiles.selectExpr(
+        "name", "distinct AS distinct_values", *rounded("unique_ratio")
+    )
+
+
 TYPED_TEXTS = [
     "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR(20)) END AS mixed_text",
     "CONCAT(' ', CAST(p_size AS VARCHAR(20)), CASE WHEN p_partkey % 2 = 0 THEN '.5e1' ELSE '' END) AS number_text",
@@ -210,12 +222,23 @@ def profile_dates_orders(spark: SparkSession, folder: str) -> DataFrame:
 _UNITS = "length(@) + length(regexp_replace(@, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))"
 
 
+@register(
+    "top_sketch_long_texts",
+    "SELECT CAST(count(*) AS BIGINT) AS frequency FROM orders GROUP BY o_orderpriority",
+)
+def top_sketch_long_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketched top values of texts that share their first 600 characters."""
+    df = load(spark, folder, "orders", "concat(repeat('x', 600), o_orderpriority) AS long_text")
+    found = profile(df, mode="approx", metrics={"top_values"}).profiles
+    return found.selectExpr("explode(top_values) AS entry").selectExpr("entry.count AS frequency")
+
+
 @register(
     "profile_text_lengths_documents",
     _each(
         "documents", ["text", "lang", "source"],
-        f"CAST(min(least({_UNITS}, 100000)) AS BIGINT) AS min_length, "
-        f"CAST(max(least({_UNITS}, 100000)) AS BIGINT) AS max_length",
+        f"CAST(min({_UNITS}) AS BIGINT) AS min_length, "
+        f"CAST(max({_UNITS}) AS BIGINT) AS max_length",
     ),
 )
 def profile_text_lengths_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -652,6 +675,21 @@ def csv_roundtrip_orders(spark: SparkSession, folder: str) -> DataFrame:
     return _orders_back(open_table(spark, path, format="delimited"))
 
 
+@register(
+    "csv_late_wide",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderstatus AS status, "
+    "CASE WHEN o_orderkey % 500 = 0 THEN o_orderpriority END AS late FROM orders",
+)
+def csv_late_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that turn out wider than the first ones, with default options."""
+    path = scratch_folder(spark)
+    late = "IF(o_orderkey % 500 = 0, concat(',', o_orderpriority), '')"
+    line = f"concat(o_orderkey, ',', o_orderstatus, {late}) AS value"
+    load(spark, folder, "orders", line).write.text(path)
+    names = open_table(spark, path, format="delimited", options=DelimitedOptions(header="none")).named()
+    return names.selectExpr("column_1 AS order_key", "column_2 AS status", "column_3 AS late")
+
+
 @register("csv_pipe_custom", ORDERS_SQL)
 def csv_pipe_custom(spark: SparkSession, folder: str) -> DataFrame:
     path = _write_csv(load(spark, folder, "orders", *ORDER_TEXTS), sep="^")
@@ -795,6 +833,15 @@ def tsv_export(spark: SparkSession, folder: str) -> DataFrame:
     return tsv_rows(table(spark, folder, "conversations")).select("value")
 
 
+@register(
+    "tsv_long_texts",
+    "SELECT CONCAT(CAST(doc_id AS VARCHAR), chr(9), "
+    "CASE WHEN regexp_matches(text, '[\\t\\r\\n\"]') THEN CONCAT('\"', replace(text, '\"', '\"\"'), '\"') ELSE text END) AS value FROM documents",
+)
+def tsv_long_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return tsv_rows(Table.from_dataframe(load(spark, folder, "documents", "doc_id", "text"))).select("value")
+
+
 @register("tsv_file_orders", "SELECT CONCAT(CAST(o_orderkey AS VARCHAR), chr(9), o_orderpriority) AS value FROM orders UNION ALL SELECT CONCAT('o_orderkey', chr(9), 'o_orderpriority')")
 def tsv_file_orders(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark)
@@ -864,9 +911,16 @@ def footer_audit_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@register("scan_budget", None)
+@register(
+    "scan_budget",
+    "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, sum(strlen(text) + 1) <= 1073741824 AS within_default "
+    "FROM (SELECT replace(text, chr(10), ' ') AS text FROM documents)",
+)
 def scan_budget(spark: SparkSession, folder: str) -> DataFrame:
-    size = source_bytes(spark, folder)
+    """Bytes of a source, known from its files alone, here lines of text."""
+    path = scratch_folder(spark)
+    load(spark, folder, "documents", "translate(text, chr(10), ' ') AS value").write.text(path)
+    size = source_bytes(spark, path)
     return spark.createDataFrame([(size, size <= 1024**3)], "bytes bigint, within_default boolean")
 
 

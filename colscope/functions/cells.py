@@ -20,7 +20,6 @@ from colscope.functions.numbers import MAX_SAFE_INTEGER, finite, is_finite, numb
 from colscope.functions.text import (
     BLANKS,
     BLANKS_SQL,
-    MAX_CELL_UNITS,
     MAX_DISPLAY_UNITS,
     cut_text,
     display_value,
@@ -62,7 +61,12 @@ def is_cell_type(data_type: T.DataType) -> bool:
 
 
 def iso_text(instant: str) -> str:
-    return f"date_format({instant}, {literal(ISO_FORMAT)})"
+    return f"date_format(to_utc_timestamp({instant}, current_timezone()), {literal(ISO_FORMAT)})"
+
+
+def utc_instant(value: str) -> str:
+    """The instant of a date or of a time without zone, both taken as UTC in any session zone."""
+    return f"from_utc_timestamp(CAST({value} AS TIMESTAMP), current_timezone())"
 
 
 def to_millis(instant: str) -> str:
@@ -113,7 +117,8 @@ def json_text(value: str, data_type: T.DataType, depth: int = 0) -> str:
         wide = f"CAST({value} AS DOUBLE)"
         body = f"IF({is_finite(wide)}, {number_text(wide)}, NULL)"
     elif isinstance(data_type, TIME_TYPES):
-        body = f"concat('\"', {iso_text(f'CAST({value} AS TIMESTAMP)')}, '\"')"
+        instant = f"CAST({value} AS TIMESTAMP)" if isinstance(data_type, T.TimestampType) else utc_instant(value)
+        body = f"concat('\"', {iso_text(instant)}, '\"')"
     elif isinstance(
         data_type, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.DecimalType)
     ):
@@ -171,22 +176,27 @@ class StagedCells:
     cells: list[Cell]
 
 
-def stage(df: DataFrame, columns: Sequence[str] | None = None) -> StagedCells:
-    """Add what the named columns need (all columns by default) and describe their cells."""
+def stage(df: DataFrame, columns: Sequence[str] | None = None, cell_units: int | None = None) -> StagedCells:
+    """Add what the named columns need (all columns by default) and describe their cells.
+
+    Texts are whole unless ``cell_units`` sets a limit, as previews do.
+    """
     names = list(df.columns if columns is None else columns)
     data_types = {field.name: field.dataType for field in df.schema.fields}
     steps: list[dict[str, str]] = [{}, {}, {}, {}]
-    cells = [_cell(index, name, data_types[name], steps) for index, name in enumerate(names)]
+    cells = [_cell(index, name, data_types[name], steps, cell_units) for index, name in enumerate(names)]
     for step in steps:
         if step:
             df = df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in step.items()])
     return StagedCells(df, cells)
 
 
-def _cell(index: int, name: str, data_type: T.DataType, steps: list[dict[str, str]]) -> Cell:
+def _cell(
+    index: int, name: str, data_type: T.DataType, steps: list[dict[str, str]], cell_units: int | None
+) -> Cell:
     raw = quoted(name)
     if isinstance(data_type, (T.StringType, T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        return _text_cell(index, raw, data_type, steps)
+        return _text_cell(index, raw, data_type, steps, cell_units)
 
     def typed(kind: str, vtype: str, text: str, key: tuple[str, str, str, str], **given) -> Cell:
         return Cell(
@@ -221,7 +231,7 @@ def _cell(index: int, name: str, data_type: T.DataType, steps: list[dict[str, st
             (kind, odd, NO_TEXT, finite(num)), num=finite(num), units=f"length({odd})",
         )
     if isinstance(data_type, TIME_TYPES):
-        instant = f"CAST({raw} AS TIMESTAMP)"
+        instant = raw if isinstance(data_type, T.TimestampType) else utc_instant(raw)
         key = ("'t'", NO_TEXT, NO_TEXT, f"CAST(unix_millis({instant}) AS DOUBLE)")
         return typed("s", "date", iso_text(instant), key, instant=to_millis(instant))
     if isinstance(data_type, T.BinaryType):
@@ -233,10 +243,12 @@ def _cell(index: int, name: str, data_type: T.DataType, steps: list[dict[str, st
             index, data_type, raw, "'s'", NO_TEXT, NO_TEXT,
             ("'s'", NO_TEXT, NO_TEXT, NO_NUMBER), only_type="text",
         )
-    return _text_cell(index, raw, data_type, steps)
+    return _text_cell(index, raw, data_type, steps, cell_units)
 
 
-def _text_cell(index: int, raw: str, data_type: T.DataType, steps: list[dict[str, str]]) -> Cell:
+def _text_cell(
+    index: int, raw: str, data_type: T.DataType, steps: list[dict[str, str]], cell_units: int | None
+) -> Cell:
     """A cell that is text, or is written as text; its value type is decided value by value."""
     from_cell = is_cell_type(data_type)
     if from_cell:
@@ -260,11 +272,13 @@ def _text_cell(index: int, raw: str, data_type: T.DataType, steps: list[dict[str
             f"CASE {raw}.kind WHEN 'n' THEN 'number' WHEN 'b' THEN 'boolean' ELSE {value_type} END"
         )
         parsed = f"IF({raw}.kind = 'n', {raw}.num, {parsed})"
-    steps[0][text] = cut_text(f"nullif({written}, '')", MAX_CELL_UNITS)
+    present = f"nullif({written}, '')"
+    steps[0][text] = present if cell_units is None else cut_text(present, cell_units)
     steps[1][trimmed] = typed_candidate(text)
     steps[2][vtype] = value_type
     steps[3][num] = f"IF({vtype} = 'number', {parsed}, NULL)"
-    at = to_millis(f"TRY_CAST({trimmed} AS TIMESTAMP)")
+    read = f"TRY_CAST({trimmed} AS TIMESTAMP)"
+    at = to_millis(f"IF(length({trimmed}) = 10, {utc_instant(read)}, {read})")
     steps[3][instant] = f"IF({vtype} = 'date', {at}, NULL)"
     steps[3][units] = f"IF({vtype} = 'text', {utf16_units(text)}, NULL)"
     steps[3][display] = display_value(text)

@@ -59,15 +59,28 @@ def localized_number(text: str, decimal: str, thousands: str) -> str:
         return "CAST(NULL AS DOUBLE)"
     point = DECIMAL_CHARACTERS[decimal]
     group = THOUSANDS_CHARACTERS[thousands]
-    digits = r"[0-9]+"
-    if group:
-        digits = rf"(?:[0-9]{{1,3}}(?:{re.escape(group)}[0-9]{{3}})+|[0-9]+)"
-    pattern = rf"\A[+-]?{digits}(?:{re.escape(point)}[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
-    trimmed = trim_blanks(text)
-    plain = trimmed
-    if group:
-        plain = f"replace({plain}, {literal(group)}, '')"
-    if point != ".":
-        plain = f"replace({plain}, {literal(point)}, '.')"
-    value = f"TRY_CAST({plain} AS DOUBLE)"
-    return f"IF({trimmed} RLIKE {literal(pattern)}, {finite(value)}, NULL)"
+    by_group = f"split(n.halves[0], {literal(re.escape(group))})" if group else "array(n.halves[0])"
+
+    def digits(part: str) -> str:
+        return f"({part} <> '' AND translate({part}, '0123456789', '') = '')"
+
+    # Each step names what the next one needs: mantissa, sign and exponent; halves; groups of digits.
+    steps = [
+        trim_blanks(text),
+        "struct(n AS full, regexp_replace(n, '[eE][+-]?[0-9]+$', '') AS mantissa)",
+        "struct(n.mantissa AS mantissa, substring(n.full, length(n.mantissa) + 1) AS exponent, "
+        "IF(substring(n.mantissa, 1, 1) IN ('+', '-'), substring(n.mantissa, 1, 1), '') AS sign)",
+        "struct(n.sign AS sign, n.exponent AS exponent, "
+        f"split(substring(n.mantissa, length(n.sign) + 1), {literal(re.escape(point))}) AS halves)",
+        f"struct(n.sign AS sign, n.exponent AS exponent, n.halves AS halves, {by_group} AS groups)",
+        f"IF(size(n.halves) <= 2 AND (size(n.halves) = 1 OR {digits('get(n.halves, 1)')}) "
+        f"AND forall(n.groups, g -> {digits('g')}) AND (size(n.groups) = 1 OR length(n.groups[0]) <= 3 "
+        "AND forall(slice(n.groups, 2, size(n.groups)), g -> length(g) = 3)), "
+        "TRY_CAST(concat(n.sign, array_join(n.groups, ''), coalesce(concat('.', get(n.halves, 1)), ''), n.exponent) "
+        "AS DOUBLE), NULL)",
+        finite("n"),
+    ]
+    value = steps[0]
+    for step in steps[1:]:
+        value = f"transform(array({value}), n -> {step})[0]"
+    return value

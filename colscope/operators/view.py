@@ -57,7 +57,8 @@ MAX_FILTER_VALUE_LENGTH = 2000
 MAX_FILTER_ID_LENGTH = 128
 TOO_LONG = "Filter values are limited to 2,000 characters."
 
-NATURAL_DIGITS = 40
+LENGTH_DIGITS = 10
+"""Digits of the length that precedes a number within a sort key; no text is longer."""
 ISO_DATE = re.compile(
     r"([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2}))?)?"
     r"(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.]([0-9]+))?)?"
@@ -375,9 +376,10 @@ def search_predicate(cells: Sequence[Cell], query: str) -> str | None:
 
 def natural_key(text: str) -> str:
     """Sort key of text: digit runs compare as numbers, case and accents do not count."""
-    padded = f"regexp_replace({text}, '([0-9]+)', '{'0' * NATURAL_DIGITS}$1')"
-    cut = f"regexp_replace({padded}, '0*([0-9]{{{NATURAL_DIGITS},}})(?![0-9])', '$1')"
-    return f"{cut} COLLATE UNICODE_CI_AI"
+    number = "ltrim('0', x)"
+    sized = f"concat(lpad(CAST(length({number}) AS STRING), {LENGTH_DIGITS}, '0'), {number})"
+    parts = f"transform(regexp_extract_all({text}, '([0-9]+|[^0-9]+)', 1), x -> IF(x RLIKE '^[0-9]', {sized}, x))"
+    return f"IF({text} RLIKE '[0-9]', array_join({parts}, ''), {text}) COLLATE UNICODE_CI_AI"
 
 
 def sort_keys(cell: Cell, column_type: str) -> list[str]:

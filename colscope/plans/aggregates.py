@@ -70,6 +70,16 @@ def distinct_estimate(cell: Cell) -> str:
     return f"approx_count_distinct({value}, {DISTINCT_ERROR}D)"
 
 
+def tracked_text(text: str, digest: str) -> str:
+    """What a sketch tracks of a text: the text, or the digest and the short form of a long one."""
+    return f"IF({digest} IS NULL, concat('s', {text}), concat('l', {digest}, {text}))"
+
+
+def tracked_value(item: str) -> str:
+    """The shown form of a tracked text."""
+    return f"IF(startswith({item}, 's'), substring({item}, 2), substring({item}, 66))"
+
+
 def top_values_sketch(cell: Cell) -> str:
     """Approximate most frequent values as ``array<struct<value, count>>``.
 
@@ -86,7 +96,8 @@ def top_values_sketch(cell: Cell) -> str:
     elif isinstance(cell.data_type, TIME_TYPES):
         item, shown = cell.instant, iso_text("e.item")
     else:
-        item, shown = f"IF({cell.present}, {cell.key[1]}, NULL)", "e.item"
+        item = f"IF({cell.present}, {tracked_text(cell.key[1], cell.key[2])}, NULL)"
+        shown = tracked_value("e.item")
     entry = f"struct({shown} AS value, CAST(e.count AS BIGINT) AS count)"
     return f"transform(approx_top_k({item}, {TOP_VALUES}), e -> {entry})"
 

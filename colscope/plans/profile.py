@@ -165,11 +165,12 @@ def profile(
     mode: str = "exact",
     scope: str = "full",
     metrics: Collection[str] = METRICS,
+    cell_units: int | None = None,
 ) -> ProfileResult:
-    """Profile the given columns of ``df`` (all by default) over every row.
+    """Profile the given columns of ``df`` (all by default) over every row and every whole text.
 
     ``names`` are the shown names when they differ from the DataFrame's. ``metrics`` limits the
-    work beyond the basic statistics.
+    work beyond the basic statistics. ``cell_units`` shortens long texts, for previews only.
     """
     metrics = frozenset(metrics)
     if mode not in ("exact", "approx", "auto"):
@@ -179,7 +180,7 @@ def profile(
     spark = df.sparkSession
     columns = list(df.columns if columns is None else columns)
     shown = list(names if names is not None else columns)
-    staged = stage(df, columns)
+    staged = stage(df, columns, cell_units)
     states = [_ColumnState(cell, name) for cell, name in zip(staged.cells, shown, strict=True)]
 
     row_count = _basic_pass(staged, states, mode, metrics)

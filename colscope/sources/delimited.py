@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from colscope.functions.cells import CELL_TYPE
 from colscope.functions.numbers import localized_number, number_text
 from colscope.functions.text import literal
-from colscope.options import MAX_RECORD_BYTES, DelimitedOptions, Limits, ParsingMetadata
+from colscope.options import DelimitedOptions, Limits, ParsingMetadata
 from colscope.sources.files import list_files
 from colscope.sources.heads import (
     choose_delimiter,
@@ -37,15 +37,16 @@ def open_delimited(
     path: str,
     options: DelimitedOptions | None = None,
     limits: Limits | None = None,
-    widen: str = "sample",
+    widen: str = "full",
     multi_line: bool = False,
-    max_record_bytes: int = MAX_RECORD_BYTES,
+    max_record_bytes: int | None = None,
 ) -> Table:
     """Open one file, a folder or a glob of files of one layout.
 
     ``widen`` decides the width: ``sample`` takes the widest record of a preview, ``full`` the
     widest of all records. ``multi_line`` allows line breaks inside quotes; such files cannot be
-    split. A record of more than ``max_record_bytes`` fails the scan that meets it.
+    split. With ``max_record_bytes``, a longer record fails the scan that meets it;
+    checking this reads all columns.
     """
     options, limits = options or DelimitedOptions(), limits or Limits()
     if widen not in ("sample", "full"):
@@ -68,15 +69,14 @@ def open_delimited(
     names, width = _layout(head, options, separator, limits)
     if widen == "full":
         width = _full_width(spark, path, options, separator, multi_line, width)
-    kept = min(width, limits.max_columns)
-    names = names[:kept] + [f"column_{i + 1}" for i in range(len(names), kept)]
+    names = names + [f"column_{i + 1}" for i in range(len(names), width)]
 
-    read = (spark, path, options, separator, kept)
+    read = (spark, path, options, separator, width)
     if options.skip_rows:
         raw = _read_lines(*read, files=files, max_record_bytes=max_record_bytes)
     else:
         raw = _read_records(*read, multi_line=multi_line, max_record_bytes=max_record_bytes)
-    cells = [f"{_cell_value(f'c{i}', options)} AS c{i}" for i in range(kept)]
+    cells = [f"{_cell_value(f'c{i}', options)} AS c{i}" for i in range(width)]
     return Table(
         df=raw.selectExpr(*cells, *ORDER),
         columns=tuple(names),
@@ -129,7 +129,7 @@ def _read_records(
     separator: str,
     width: int,
     multi_line: bool,
-    max_record_bytes: int,
+    max_record_bytes: int | None,
 ) -> DataFrame:
     reader = spark.read.schema(_text_schema(width)).options(**_reader_options(options, separator))
     reader = reader.option("recursiveFileLookup", "true").option("encoding", options.spark_encoding)
@@ -148,12 +148,14 @@ def _read_records(
     if options.encoding == "utf16le" and not multi_line:
         last = fields[-1]
         df = df.selectExpr(*fields[:-1], f"rtrim('\\r', {last}) AS {last}", *ORDER)
-    return df.where(_record_check(f"concat_ws('', {', '.join(fields)})", max_record_bytes))
+    separators = len(fields) - 1
+    record = f"octet_length(concat_ws('', {', '.join(fields)})) + {separators}"
+    return df if max_record_bytes is None else df.where(_record_check(record, max_record_bytes))
 
 
-def _record_check(record: str, max_record_bytes: int) -> str:
+def _record_check(size: str, max_record_bytes: int) -> str:
     message = literal(f"A record exceeds the maximum of {max_record_bytes} bytes.")
-    return f"IF(octet_length({record}) > {max_record_bytes}, CAST(raise_error({message}) AS BOOLEAN), TRUE)"
+    return f"IF({size} > {max_record_bytes}, CAST(raise_error({message}) AS BOOLEAN), TRUE)"
 
 
 def _full_width(
@@ -192,7 +194,7 @@ def _read_lines(
     separator: str,
     width: int,
     files: DataFrame,
-    max_record_bytes: int,
+    max_record_bytes: int | None,
 ) -> DataFrame:
     """Lines without the leading ones of each file, parsed into fields.
 
@@ -219,7 +221,9 @@ def _read_lines(
     usual, special = _lines_to_drop(file_heads(files, options, 0), keeps_blank_lines)
     schema = "value string, _file string, _block bigint"
     kept = lines.mapInArrow(_line_dropper(usual, special), schema)
-    kept = kept.where("value <> ''").where(_record_check("value", max_record_bytes))
+    kept = kept.where("value <> ''")
+    if max_record_bytes is not None:
+        kept = kept.where(_record_check("octet_length(value)", max_record_bytes))
     parse = dict(_reader_options(options, separator))
     parsed = kept.select(
         F.from_csv("value", _text_schema(width), parse).alias("fields"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.cells import stage
-from colscope.functions.text import is_cut
+from colscope.functions.text import MAX_CELL_UNITS, is_cut
 from colscope.options import MAX_PREVIEW_EXPANDED_BYTES, DelimitedOptions, Limits
 from colscope.plans.profile import METRICS, ProfileResult, profile
 from colscope.sources.delimited import open_delimited
@@ -47,12 +47,14 @@ def open_table(
     """Open a file, folder or glob. ``format`` names the reader when the path has no extension."""
     kind = format or FORMATS.get(extension_of(path))
     if kind == "delimited":
-        return open_delimited(spark, path, options, limits, **delimited)
-    if kind == "parquet":
-        return open_parquet(spark, path, limits)
-    if kind == "workbook":
-        return open_workbook(spark, path, sheet, limits)
-    raise ValueError(f"Unsupported file type: {extension_of(path) or '(no extension)'}")
+        table = open_delimited(spark, path, options, limits, **delimited)
+    elif kind == "parquet":
+        table = open_parquet(spark, path)
+    elif kind == "workbook":
+        table = open_workbook(spark, path, sheet, limits)
+    else:
+        raise ValueError(f"Unsupported file type: {extension_of(path) or '(no extension)'}")
+    return replace(table, limits=limits)
 
 
 def profile_table(
@@ -121,7 +123,7 @@ def head_rows(table: Table, count: int) -> list:
 
 def count_cut_cells(table: Table) -> DataFrame:
     """One row ``(cells)``: how many cells the text limit shortened."""
-    staged = stage(table.df, table.fields)
+    staged = stage(table.df, table.fields, MAX_CELL_UNITS)
     texts = [c for c in staged.cells if c.only_type is None and c.text.startswith("__cell_")]
     counts = " + ".join(f"count_if({is_cut(c.text)})" for c in texts) or "0"
     return staged.df.selectExpr(f"CAST({counts} AS BIGINT) AS cells")
@@ -133,8 +135,9 @@ def preview(table: Table, limits: Limits | None = None) -> Preview:
     One row more than shown is asked for, to learn whether more exist without counting them.
     Parquet row counts come from the footers and are always known.
     """
-    limits = limits or Limits()
+    limits = limits or table.limits or Limits()
     spark = table.df.sparkSession
+    table = replace(table, columns=table.columns[: limits.max_columns], total_columns=table.width)
     wanted = limits.head_rows(len(table.columns))
     if table.format == "PARQUET" and table.path:
         audit = footer_audit(spark, table.path, MAX_PREVIEW_EXPANDED_BYTES, table.columns, wanted)
@@ -152,7 +155,7 @@ def preview(table: Table, limits: Limits | None = None) -> Preview:
     if more and table.format == "PARQUET":
         total = table.df.count()
     result = profile(
-        head.df, head.fields, head.columns, scope="preview" if more else "full"
+        head.df, head.fields, head.columns, scope="preview" if more else "full", cell_units=MAX_CELL_UNITS
     )
     if more:  # quality rules speak about complete tables only
         result = replace(result, warnings=result.warnings.where("FALSE"))

@@ -20,12 +20,11 @@ FOOTER_SCHEMA = (
 )
 
 
-def open_parquet(spark: SparkSession, path: str, limits: Limits | None = None) -> Table:
-    limits = limits or Limits()
+def open_parquet(spark: SparkSession, path: str) -> Table:
+    """All columns of Parquet files; previews take the first few of them."""
     df = spark.read.parquet(path)
-    kept = df.columns[: limits.max_columns]
     ordered = df.selectExpr(
-        *(f"`{name.replace('`', '``')}`" for name in kept),
+        *(f"`{name.replace('`', '``')}`" for name in df.columns),
         "_metadata.file_path AS _file",
         "_metadata.row_index AS _row_index",
     )

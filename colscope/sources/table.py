@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from colscope.functions.text import quoted
-from colscope.options import ParsingMetadata
+from colscope.options import Limits, ParsingMetadata
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,8 @@ class Table:
     parsing: ParsingMetadata | None = None
     sheet: str | None = None
     sheets: tuple[str, ...] = ()
+    limits: Limits | None = None
+    """Limits of previews, where ``open_table`` was given some."""
 
     @property
     def fields(self) -> tuple[str, ...]:

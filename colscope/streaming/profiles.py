@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from colscope.functions.cells import StagedCells, iso_text, key_value_text, stage
 from colscope.functions.text import literal
 from colscope.operators.quality import quality_warnings
-from colscope.plans.aggregates import DISTINCT_ERROR, SKETCH_K, TOP_VALUES
+from colscope.plans.aggregates import DISTINCT_ERROR, SKETCH_K, TOP_VALUES, tracked_text, tracked_value
 from colscope.plans.profile import top_values
 
 def _long_cells(staged: StagedCells) -> DataFrame:
@@ -44,7 +44,7 @@ def stream_profile(df: DataFrame) -> DataFrame:
     Use output mode ``complete`` or ``update``. Works on batch DataFrames too, with equal results.
     """
     cells = _long_cells(stage(df))
-    shown = key_value_text("code", "shown", "key_num")
+    shown = tracked_text(key_value_text("code", "shown", "key_num"), "digest")
     grouped = cells.groupBy("column_index").agg(
         F.expr("count(1)").alias("row_count"),
         F.expr("count(vtype)").alias("non_null"),
@@ -90,7 +90,7 @@ def stream_profile(df: DataFrame) -> DataFrame:
         f"{only('date', iso_text('last_instant'))} AS max_text",
         f"CAST({only('text', 'shortest')} AS BIGINT) AS min_length",
         f"CAST({only('text', 'longest')} AS BIGINT) AS max_length",
-        "transform(top, e -> struct(e.item AS value, CAST(e.count AS BIGINT) AS count)) AS top_values",
+        "transform(top, e -> struct(" + tracked_value("e.item") + " AS value, CAST(e.count AS BIGINT) AS count)) AS top_values",
         "filter(array(IF(non_null > 0, 'distinct', NULL), IF(non_null > 0, 'topValues', NULL), "
         "IF(type = 'number', 'median', NULL)), m -> m IS NOT NULL) AS approximate_metrics",
     )
@@ -114,12 +114,12 @@ def stream_top_values(df: DataFrame, count: int = TOP_VALUES) -> DataFrame:
     """Running approximate top values ``(column_index, name, position, value, count)``; the state
     is one sketch per column."""
     cells = _long_cells(stage(df)).where("vtype IS NOT NULL")
-    shown = key_value_text("code", "shown", "key_num")
+    shown = tracked_text(key_value_text("code", "shown", "key_num"), "digest")
     top = cells.groupBy("column_index").agg(F.expr(f"approx_top_k({shown}, {count})").alias("top"))
     return top.selectExpr(
         "column_index", f"{_names(df.columns)} AS name", "posexplode(top) AS (position, entry)"
     ).selectExpr(
-        "column_index", "name", "position + 1 AS position", "entry.item AS value",
+        "column_index", "name", "position + 1 AS position", f"{tracked_value('entry.item')} AS value",
         "CAST(entry.count AS BIGINT) AS count",
     )
 
