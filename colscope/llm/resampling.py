@@ -1,11 +1,12 @@
 """Quality by importance resampling: hashed n-gram models of good and of all text, Gumbel top-k.
 
-Words in lower case and pairs of neighbouring words are hashed into ``BUCKETS``; a pair that ends a run
-of four or more equal words counts as one n-gram of its own, whatever the word. A document counts a
+Words in lower case and pairs of neighbouring words are hashed into ``WORDS`` and ``PAIRS`` buckets; two marks
+at the end of a word count as a word of their own, and so does a run of ``RUN`` or more equal words. A document counts a
 bucket once, so that words which one text repeats do not pass for a trait of many. The target model counts the n-grams of ``TARGET``
 documents labelled good (quality 1, not toxic), the raw model those of all documents. Each bucket's log ratio is smoothed by
 ``PRIOR`` expected counts and drawn towards zero by ``DEAD``, so that differences which chance or the
-mix of languages can make have no weight. A document's log weight is the sum over its n-grams; above
+mix of languages can make have no weight; the mean over the target is taken off, so that long texts
+gather nothing by collisions of buckets. A document's log weight is the sum over its n-grams; above
 zero it counts as zero, as good text is not to be preferred for its length.
 
 The sample takes the k largest ``SHARP * log weight + Gumbel noise``, which draws k documents without
@@ -33,14 +34,17 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colscope.llm.common import id_and_text, map_rows, mix, pieces, sampled_ids, save, unit
 
-BUCKETS = 1 << 18
-PRIOR, DEAD = 8.0, 0.5
+#: Buckets of words, which are rare and telling, and of pairs.
+WORDS, PAIRS = 1 << 20, 1 << 16
+BUCKETS = WORDS + PAIRS
+PRIOR, DEAD = 6.0, 0.6
 SHARP, PRICE, SEED = 4.0, 20.0, 77
 #: Documents that the target model counts, about, at most.
 TARGET = 200_000
 #: Log weights below this count as this; cutoffs are tried in steps of 1 / ``STEPS``.
 FLOOR, STEPS = -64.0, 4
-SAME = np.uint64(0x2545F4914F6CDD1D)
+SAME, RUN = np.uint64(0x2545F4914F6CDD1D), 8
+MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def buckets(text: bytes | None) -> np.ndarray:
@@ -48,9 +52,14 @@ def buckets(text: bytes | None) -> np.ndarray:
     words = [] if text is None else text.lower().split()
     ones = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     pairs = mix(ones[:-1] * np.uint64(0x9E3779B97F4A7C15) + ones[1:])
-    equal = ones[:-1] == ones[1:]
-    pairs[2:][equal[2:] & equal[1:-1] & equal[:-2]] = SAME
-    return np.unique((np.concatenate([ones, pairs]) % np.uint64(BUCKETS)).astype(np.int64))
+    run = np.arange(len(pairs))
+    run -= np.maximum.accumulate(np.where(ones[:-1] == ones[1:], -1, run))
+    marks = {w[-2:] for w in words if w[-1] in MARKS and len(w) > 1 and w[-2] in MARKS}
+    ends = np.fromiter(map(xxhash.xxh3_64_intdigest, marks), np.uint64, len(marks))
+    runs = np.full(int((run >= RUN - 1).any()), SAME)
+    ones = np.concatenate([ones, ends, runs]) % np.uint64(WORDS)
+    pairs = np.uint64(WORDS) + pairs % np.uint64(PAIRS)
+    return np.unique(np.concatenate([ones, pairs]).astype(np.int64))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -89,7 +98,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         return np.zeros(BUCKETS)
     expected = raw * (sizes["target"] / sizes["raw"])
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD, 0.0)
+    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD, 0.0)
+    return ratio - (target @ ratio) / target.sum()
 
 
 def log_weight(text: bytes | None, ratios: np.ndarray) -> float:

@@ -13,11 +13,12 @@ def test_ratios_by_hand(spark, make_docs):
     docs = make_docs((1, "a b a b"), (2, "c c c"), (3, None))
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     ratios = R.log_ratios(docs, labels)
-    bucket = lambda w: xxhash.xxh3_64_intdigest(w) % R.BUCKETS
-    for word, t, n in ((b"a", 1, 1), (b"c", 0, 1)):  # one good document of three
-        plain = math.log((t + R.PRIOR) / (n / 3 + R.PRIOR))
-        assert math.isclose(ratios[bucket(word)], math.copysign(max(abs(plain) - R.DEAD, 0), plain), abs_tol=1e-12)
-    assert set(R.buckets(b"A b a")) >= {bucket(b"a"), bucket(b"b")} and len(R.buckets(b"a a a a a a")) == 3
+    bucket = lambda w: xxhash.xxh3_64_intdigest(w) % R.WORDS
+    shrunk = lambda t, n: math.copysign(max(abs(x := math.log((t + R.PRIOR) / (n / 3 + R.PRIOR))) - R.DEAD, 0), x)
+    mean = shrunk(1, 1)  # all n-grams of the one good document of three
+    for word, t, n in ((b"a", 1, 1), (b"c", 0, 1)):
+        assert math.isclose(ratios[bucket(word)], shrunk(t, n) - mean, abs_tol=1e-12)
+    assert set(R.buckets(b"A b a")) >= {bucket(b"a"), bucket(b"b")} and len(R.buckets(b"a " * 8)) == 3 and len(R.buckets(b"a " * 7)) == 2
     assert len(R.buckets(None)) == len(R.buckets(b" ")) == 0
 
 
