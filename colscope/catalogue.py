@@ -545,6 +545,26 @@ def _from(spark: SparkSession, folder: str, name: str, *expressions: str) -> Tab
     return Table.from_dataframe(load(spark, folder, name, *expressions))
 
 
+DECIMAL_FILTERS = {
+    "between": (("between", "5000.505", "-100.125"), "v BETWEEN -100.125 AND 5000.505"),
+    "eq": (("equals", "1e3", None), "v = 1000"),
+    "gt": (("greaterThan", "9000.999", None), "v > 9000.999"),
+    "ne": (("notEquals", "0.005", None), "v <> 0.005"),
+    "huge": (("lessThan", "1e40", None), "v < 1e40"),
+}
+for _suffix, (_filter, _condition) in DECIMAL_FILTERS.items():
+
+    @register(
+        f"filter_decimal_{_suffix}",
+        f"SELECT c_custkey FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) AS v FROM customer) WHERE {_condition}",
+    )
+    def filter_decimal(spark: SparkSession, folder: str, chosen=_filter) -> DataFrame:
+        path = scratch_folder(spark)
+        load(spark, folder, "customer", "c_custkey", "CAST(c_acctbal AS DECIMAL(12,2)) AS v").write.parquet(path)
+        stored = open_table(spark, path, format="parquet")
+        return apply_view(stored, ViewSpec(filters=(Filter(1, *chosen),)), ["number", "number"]).named().select("c_custkey")
+
+
 FLAGS = "CASE WHEN toxic = 1 THEN 'True' WHEN quality = 1 THEN 'FALSE' ELSE ' true ' END"
 for _suffix, _operator, _wanted in [("true", "isTrue", "true"), ("false", "isFalse", "false")]:
     register(f"filter_bool_{_suffix}", f"SELECT doc_id FROM labels WHERE lower({FLAGS}) = '{_wanted}'")(

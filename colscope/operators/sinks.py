@@ -10,22 +10,21 @@ from colscope.sources.table import Table
 def write_tsv(table: Table, path: str, header: bool = False, ordered: bool = False) -> None:
     """Write all rows as tab-separated text files.
 
-    ``ordered`` sorts rows into source order across files. ``header`` puts the column names on top
-    of the first file; it implies the order.
+    ``ordered`` sorts rows into source order across files. ``header`` puts the column names into a
+    first file of their own.
     """
     rows = tsv_rows(table)
+    if ordered and table.order:
+        rows = rows.orderBy(*table.order)
+    rows = rows.select("value")
     if header:
         spark = table.df.sparkSession
         names = spark.createDataFrame([tuple(table.columns)], [f"n{i}" for i in range(len(table.columns))])
         line = names.selectExpr(
-            "concat_ws('\\t', " + ", ".join(tsv_field(f"n{i}") for i in range(len(table.columns))) + ") AS value",
-            "0 AS __part",
+            "concat_ws('\\t', " + ", ".join(tsv_field(f"n{i}") for i in range(len(table.columns))) + ") AS value"
         )
-        body = rows.selectExpr("value", "1 AS __part", *table.order)
-        rows = line.unionByName(body, allowMissingColumns=True).orderBy("__part", *table.order)
-    elif ordered and table.order:
-        rows = rows.orderBy(*table.order)
-    rows.select("value").write.text(path)
+        rows = line.coalesce(1).union(rows)
+    rows.write.text(path)
 
 
 def write_profile(result: ProfileResult, path: str, format: str = "parquet") -> None:

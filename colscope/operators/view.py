@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -324,6 +325,15 @@ def _scale(cell: Cell, column_type: str):
         return cell.raw, lambda v: whole(math.ceil(v)), lambda v: whole(math.floor(v) + 1)
     if column_type == "number" and isinstance(kind, T.DoubleType):
         return cell.raw, lambda v: f"{v!r}D", lambda v: None
+    if column_type == "number" and isinstance(kind, T.DecimalType) and kind.precision <= 15:
+        # A double holds all values of the column, so the nearest ones of its scale decide alike.
+        step, most = Decimal(1).scaleb(-kind.scale), Decimal(10) ** (kind.precision - kind.scale)
+
+        def exact(value: float, rounding: str, steps: int = 0) -> str:
+            bound = max(-most, min(most, Decimal(repr(value)))).quantize(step, rounding) + steps * step
+            return f"CAST('{bound:f}' AS DECIMAL({kind.precision + (abs(bound) >= most)}, {kind.scale}))"
+
+        return cell.raw, lambda v: exact(v, ROUND_CEILING), lambda v: exact(v, ROUND_FLOOR, 1)
     if column_type == "number":
         return cell.num, lambda v: f"{v!r}D", lambda v: None
     if isinstance(kind, T.DateType):

@@ -126,3 +126,26 @@ def test_warnings_need_only_profile_columns(spark):
     row = [(0, "a", "text", 30, 1, 0.5, 1 / 30)]
     df = spark.createDataFrame(row, "column_index int, name string, type string, non_null bigint, distinct bigint, missing_ratio double, unique_ratio double")
     assert [w["code"] for w in quality_warnings(df).collect()] == ["constant", "highMissing"]
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    rows = spark.sql(
+        "SELECT DATE'2024-01-01' AS day, TIMESTAMP_NTZ'2024-06-01 10:00:00' AS ntz, "
+        "timestamp_seconds(1704067200) AS at, '2024-01-01' AS text_day, '2024-01-01T00:00:00Z' AS text_at"
+    )
+    found = {}
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            profiles = profile(rows, metrics={"top_values"}).profiles
+            found[zone] = [(r["name"], r["min_text"], r["top_values"][0]["value"]) for r in profiles.collect()]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found["UTC"] == found["America/New_York"]
+    assert [x[1] for x in found["UTC"]][:3] == ["2024-01-01T00:00:00.000Z", "2024-06-01T10:00:00.000Z", "2024-01-01T00:00:00.000Z"]
+
+
+def test_long_texts_are_told_apart_by_sketches(spark):
+    df = spark.range(700).selectExpr("concat(repeat('x', 600), id % 7) AS v")
+    top = profile(df, mode="approx", metrics={"top_values"}).profiles.first()["top_values"]
+    assert [x["count"] for x in top] == [100] * 5
