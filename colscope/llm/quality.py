@@ -151,19 +151,19 @@ def cutoffs_of(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> D
     held = held.filter(~base_failed()).select("stratum", "side", F.explode(steps).alias("x"))
     bins = held.groupBy("stratum", "x.rule", "side", "x.step").agg(F.count("*").alias("n"))
     ladders = bins.groupBy("stratum", "rule").agg(F.collect_list(F.struct("side", "step", "n")).alias("bins"))
-    strata = measured.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    level = risk.miss / (len(RULES) * max(1, measured.select("stratum").distinct().count()))
 
     def rows(batch: dict) -> Iterable[tuple]:
-        for stratum, rule, found, strata in zip(*(batch[c] for c in ("stratum", "rule", "bins", "strata"))):
+        for stratum, rule, found in zip(batch["stratum"], batch["rule"], batch["bins"]):
             cutoffs = RULES[rule][1]
             split = {s: [0] * (len(cutoffs) + 1) for s in ("good", "poor")}
             for x in found:
                 split[x["side"]][x["step"]] += x["n"]
-            cutoff = best_cutoff(split["good"], split["poor"], cutoffs, risk.miss / (len(RULES) * strata), risk)
+            cutoff = best_cutoff(split["good"], split["poor"], cutoffs, level, risk)
             if cutoff is not None:
                 yield stratum, rule, cutoff
 
-    return map_rows(ladders.join(F.broadcast(strata)), "stratum string, rule string, cutoff double", rows)
+    return map_rows(ladders, "stratum string, rule string, cutoff double", rows)
 
 
 def _exceeded(score: str, cutoffs: tuple[float, ...]):
