@@ -131,8 +131,8 @@ def _rendered(name: str, where: str) -> str:
     body = "replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>'"
     return (
         f"{name} AS (SELECT conv_id, string_agg({head} || {body} || chr(10), '' ORDER BY turn) AS t, "
-        f"string_agg(CASE WHEN role = 'assistant' THEN (at + length({head})) || ':' || (at + length({head}) + length({body})) END, ',' ORDER BY turn) AS mask "
-        f"FROM (SELECT *, coalesce(sum(length({head} || {body}) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM {where}) GROUP BY conv_id)"
+        f"string_agg(CASE WHEN role = 'assistant' THEN (start + length({head})) || ':' || (start + length({head}) + length({body})) END, ',' ORDER BY turn) AS mask "
+        f"FROM (SELECT *, coalesce(sum(length({head} || {body}) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {where}) GROUP BY conv_id)"
     )
 
 
@@ -142,11 +142,11 @@ def _rendered(name: str, where: str) -> str:
     "answers AS (SELECT conv_id, turn, text FROM last JOIN conversations USING (conv_id, turn)), "
     "other AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.turn = m.turn AND o.text IS NOT NULL THEN o.text ELSE c.text END AS text "
     "FROM conversations c LEFT JOIN answers m ON m.conv_id = c.conv_id LEFT JOIN answers o ON o.conv_id = c.conv_id + 1 - 2 * (c.conv_id % 2)), "
-    "cut AS (SELECT c.conv_id, count(*) AS turns, min(CASE WHEN c.text <> r.text THEN c.turn END) AS at FROM conversations c JOIN other r USING (conv_id, turn) GROUP BY c.conv_id), "
-    + _rendered("p", "(SELECT c.* FROM conversations c JOIN cut USING (conv_id) WHERE at IS NULL OR turn < at)") + ", "
-    + _rendered("c", "(SELECT c.* FROM conversations c JOIN cut USING (conv_id) WHERE turn >= at)") + ", "
-    + _rendered("r", "(SELECT c.* FROM other c JOIN cut USING (conv_id) WHERE turn >= at)")
-    + ", n AS (SELECT cut.conv_id, count(*) AS k FROM cut JOIN conversations c ON c.conv_id = cut.conv_id AND (at IS NULL OR c.turn < at) GROUP BY cut.conv_id) "
+    "cut AS (SELECT c.conv_id, count(*) AS turns, min(CASE WHEN c.text <> r.text THEN c.turn END) AS cut_at FROM conversations c JOIN other r USING (conv_id, turn) GROUP BY c.conv_id), "
+    + _rendered("p", "(SELECT c.* FROM conversations c JOIN cut USING (conv_id) WHERE cut_at IS NULL OR turn < cut_at)") + ", "
+    + _rendered("c", "(SELECT c.* FROM conversations c JOIN cut USING (conv_id) WHERE turn >= cut_at)") + ", "
+    + _rendered("r", "(SELECT c.* FROM other c JOIN cut USING (conv_id) WHERE turn >= cut_at)")
+    + ", n AS (SELECT cut.conv_id, count(*) AS k FROM cut JOIN conversations c ON c.conv_id = cut.conv_id AND (cut_at IS NULL OR c.turn < cut_at) GROUP BY cut.conv_id) "
     "SELECT cut.conv_id AS pair_id, CAST(coalesce(n.k, 0) AS INTEGER) AS prefix_turns, coalesce(p.t, '') AS prompt, coalesce(c.t, '') AS chosen, coalesce(r.t, '') AS rejected, "
     "coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask, c.mask IS NOT NULL AND r.mask IS NOT NULL AS usable "
     "FROM cut LEFT JOIN n USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN c USING (conv_id) LEFT JOIN r USING (conv_id)",
