@@ -63,6 +63,23 @@ def test_natural_sort(spark):
     assert [r["c0"] for r in found] == ["éclair", "Eclair2", "item1", "Item2", "item10", "zeta", None]
 
 
+def test_natural_sort_of_long_numbers(spark):
+    words = ["n" + "9" * 41, "n1" + "0" * 44, "n" + "0" * 60 + "7", "n8", "n" + "9" * 40]
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, _row_index bigint")
+    found = apply_view(Table.from_dataframe(df, order=["_row_index"]), ViewSpec(sort=Sort(0, "asc")), ["text"]).df.collect()
+    assert [words.index(r["c0"]) for r in found] == [2, 3, 4, 0, 1]
+
+
+def test_decimal_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.sql("SELECT CAST(id AS DECIMAL(12,2)) / 8 AS v FROM range(100)").selectExpr("CAST(v AS DECIMAL(12,2)) AS v").write.parquet(path)
+    view = apply_view(
+        Table.from_dataframe(spark.read.parquet(path)), ViewSpec(filters=(Filter(0, "between", "1.005", "2.5"),)), ["number"]
+    )
+    assert sorted(float(r["c0"]) for r in view.df.collect()) == [1.13, 1.25, 1.38, 1.5, 1.63, 1.75, 1.88, 2.0, 2.13, 2.25, 2.38, 2.5]
+    assert "GreaterThanOrEqual(v,1.01)" in view.df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_typed_filters_reach_the_scan(spark, sf):
     table = Table.from_dataframe(spark.read.parquet(f"{sf}/orders.parquet"))
     spec = ViewSpec(filters=(Filter(4, "between", "1997-01-01", "1997-06-30"), Filter(0, "greaterThan", "10.5")))
