@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from colscope.llm.common import decoded, id_and_text, map_rows
 
 #: Memoised words and neighbour pairs, at most; the tables start anew when they are full.
-MEMO_WORDS, MEMO_PAIRS = 400_000, 400_000
+MEMO_WORDS, MEMO_PAIRS = 200_000, 200_000
 #: Longer words are not memoised. Words are read in runs of so many.
 MEMO_LENGTH, RUN = 40, 50_000
 

@@ -51,7 +51,7 @@ def map_rows(df: DataFrame, schema: str, rows_of: Callable[[dict], Iterable[tupl
 
 
 #: Rows and bytes that one call of a row function sees at most (one row may be larger).
-PIECE_ROWS, PIECE_BYTES = 2000, 8 << 20
+PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
