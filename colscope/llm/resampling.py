@@ -5,7 +5,10 @@ at the end of a word count as a word of their own, and so does a run of ``RUN``
 bucket once, so that words which one text repeats do not pass for a trait of many. The target model counts the n-grams of ``TARGET``
 documents labelled good (quality 1, not toxic), the raw model those of all documents. Each bucket's log ratio is smoothed by
 ``PRIOR`` expected counts and drawn towards zero by ``DEAD``, so that differences which chance or the
-mix of languages can make have no weight; the mean over the target is taken off, so that long texts
+mix of languages can make have no weight. These are fixed counts, which rare n-grams do not reach. So labelled
+documents are asked as well: where the share of good ones among those that hold a bucket is below their share among all
+labelled ones by a factor of e ** ``GATE`` or more, the bucket weighs at least what the highest share within ``BOUND``
+nats of the best likelihood gives, however small the corpus or the language is. The mean over the target is taken off, so that long texts
 gather nothing by collisions of buckets. A document's log weight is the sum over its n-grams; above
 zero it counts as zero, as good text is not to be preferred for its length.
 
@@ -38,8 +41,10 @@ from colscope.llm.common import id_and_text, map_rows, mix, pieces, sampled_ids,
 WORDS, PAIRS = 1 << 20, 1 << 16
 BUCKETS = WORDS + PAIRS
 PRIOR, DEAD = 6.0, 0.6
+#: Nats below the best likelihood that bound the share of good documents, and the log of the factor it must miss.
+BOUND, GATE = 3.0, 1.5
 SHARP, PRICE, SEED = 4.0, 20.0, 77
-#: Documents that the target model counts, about, at most.
+#: Good documents that the target model counts, and other labelled ones beside them, about, at most.
 TARGET = 200_000
 #: Log weights below this count as this; cutoffs are tried in steps of 1 / ``STEPS``.
 FLOOR, STEPS = -64.0, 4
@@ -69,36 +74,63 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", ((F.col("quality") > 0) & (F.col("toxic") == 0)).alias("good"))
 
 
+def highest_share(good: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The highest share whose binomial log-likelihood is at most ``BOUND`` below that of the share seen."""
+    seen = good / of
+
+    def likelihood(share: np.ndarray) -> np.ndarray:
+        return good * np.log(np.maximum(share, 1e-300)) + (of - good) * np.log(np.maximum(1 - share, 1e-300))
+
+    least, low, high = likelihood(seen) - BOUND, seen, np.ones(len(seen))
+    for _ in range(40):
+        middle = (low + high) / 2
+        within = likelihood(middle) >= least
+        low, high = np.where(within, middle, low), np.where(within, high, middle)
+    return high
+
+
+def bounds(target: np.ndarray, other: np.ndarray, base: float) -> np.ndarray:
+    """What labels alone say against each bucket: a log ratio of zero or less."""
+    labelled = target + other
+    found = np.zeros(len(target))
+    at = np.flatnonzero((other > 0) & (target <= np.exp(-GATE) * base * labelled))
+    found[at] = np.minimum(0.0, np.log(highest_share(target[at], labelled[at]) / base))
+    return found
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of each bucket. What reaches the driver has ``BUCKETS`` + 1 rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS + 1), np.int64)  # the last place counts documents
+        counts = np.zeros((3, BUCKETS + 1), np.int64)  # the last place counts documents
         for batch in batches:
             for part in pieces(batch):
                 for text, good in zip(part["text"].to_pylist(), part["good"].to_pylist()):
                     found = np.append(buckets(text), BUCKETS)
-                    counts[1, found] += 1
-                    if good:
-                        counts[0, found] += 1
-        where = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(where), pa.array(counts[0][where]), pa.array(counts[1][where])], names=["bucket", "target", "raw"]
-        )
-
-    good = sampled_ids(good_ids(labels).filter("good"), TARGET, SEED).withColumn("good", F.lit(True))
-    marked = id_and_text(docs).join(F.broadcast(good), "doc_id", "left").select("text", "good")
-    found = marked.mapInArrow(run, "bucket long, target long, raw long").groupBy("bucket")
-    summed = found.agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
-    table = np.zeros((2, BUCKETS + 1))
-    table[:, summed["bucket"].to_numpy()] = summed["target"].to_numpy(), summed["raw"].to_numpy()
-    counts, sizes = table[:, :BUCKETS], dict(zip(("target", "raw"), table[:, BUCKETS]))
-    target, raw = counts
+                    counts[2, found] += 1
+                    if good is not None:
+                        counts[0 if good else 1, found] += 1
+        where = np.flatnonzero(counts[2])
+        yield pa.RecordBatch.from_arrays([pa.array(where), *(pa.array(c[where]) for c in counts)], names=["bucket", *names])
+
+    names = ("target", "other", "raw")
+    labelled = good_ids(labels)
+    good, rest = (
+        sampled_ids(labelled.filter(F.col("good") == side), TARGET, SEED).withColumn("good", F.lit(side)) for side in (True, False)
+    )
+    marked = id_and_text(docs).join(F.broadcast(good.union(rest)), "doc_id", "left").select("text", "good")
+    found = marked.mapInArrow(run, "bucket long, target long, other long, raw long").groupBy("bucket")
+    summed = found.agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    table = np.zeros((3, BUCKETS + 1))
+    table[:, summed["bucket"].to_numpy()] = [summed[c].to_numpy() for c in names]
+    counts, sizes = table[:, :BUCKETS], dict(zip(names, table[:, BUCKETS]))
+    target, other, raw = counts
     if not sizes["target"]:
         return np.zeros(BUCKETS)
     expected = raw * (sizes["target"] / sizes["raw"])
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD, 0.0)
+    ratio = np.minimum(ratio, bounds(target, other, sizes["target"] / (sizes["target"] + sizes["other"])))
     return ratio - (target @ ratio) / target.sum()
 
 

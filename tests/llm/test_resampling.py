@@ -58,3 +58,26 @@ def test_resample_agrees_with_sample(spark, make_docs):
     assert sum(i % 4 == 0 for i in map(int, filter(str.isdigit, kept))) <= 5 and len(kept) >= 295
     assert R.sample(docs, labels.limit(0)).filter("kept").count() == 402
     assert R.sample(make_docs(), labels).count() == 0 and R.resample(make_docs(), labels).count() == 0
+
+
+def test_toxic_words_of_small_languages(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "lang").join(labels, "doc_id").collect()
+
+    def kept(learned, held):
+        found = {r["doc_id"]: r["kept"] for r in R.sample(docs, learned).collect()}
+        of = lambda lang: [found[r["doc_id"]] for r in rows if held(r) and r["toxic"] == 1 and r["quality"] == 1 and r["lang"] == lang]
+        return {lang: np.mean(of(lang)) for lang in ("en", "de", "fr", "es")}
+
+    known, unseen = kept(labels, lambda r: True), kept(labels.filter("doc_id % 2 = 0"), lambda r: r["doc_id"] % 2 == 1)
+    print("kept toxic, all labels:", known, "held out:", unseen)
+    assert known["en"] <= 0.02 and known["de"] <= 0.2 and known["fr"] <= 0.2 and known["es"] <= 0.5
+    assert unseen["en"] <= 0.02 and unseen["de"] <= 0.4 and unseen["fr"] <= 0.4  # es: 17 toxic labels are left to learn from
+
+
+def test_bounds_grow_with_evidence():
+    target, other = np.array([0, 0, 0, 0, 3, 30]), np.array([1, 4, 8, 100, 1, 10])
+    found = R.bounds(target, other, 0.75)
+    assert found[0] == 0 and 0 > found[1] > found[2] > found[3] and not found[4:].any()
+    assert math.isclose(found[2], math.log((1 - math.exp(-R.BOUND / 8)) / 0.75), abs_tol=1e-6)
