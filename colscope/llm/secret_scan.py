@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and random strings told from identifiers by two Markov models.
 
-The base finds assignments, access keys and hex runs by pattern. Beyond these, every run of 16 or more
-characters of ``ALPHABET`` with two digits or more is a candidate. Two order-1 Markov models over
+The base finds assignments, access keys and hex runs by pattern. Outside their spans, every run of 5 or more
+characters of ``ALPHABET`` is a candidate, also what a base span leaves of a run. Two order-1 Markov models over
 these characters, one of random strings and one of ordinary identifiers, give the log-likelihood ratio
 of the candidate; it is a secret if the ratio is at least ``LEAST`` in all and ``LEAST_EACH`` for each
 character. The models are trained on labelled samples: random are the values that the base finds, and
@@ -71,19 +71,31 @@ def base_spans(text: str) -> list[Span]:
 def spans(text: str, ratios: np.ndarray) -> list[Span]:
     """Base spans and those of the models."""
     base = base_spans(text)
-    found = list(base)
-    for run in LONG_RUN.finditer(text):
-        if sum(map(str.isdigit, run[0])) >= 2 and not any(a < run.end() and run.start() < b for a, _, b in base):
-            total = ratio(run[0], ratios)
-            if total >= LEAST and total >= LEAST_EACH * len(run[0]):
-                found.append((run.start(), 3, run.end()))
-    return sorted(found)
+    runs = list(ANY_RUN.finditer(without(text, base)))
+    if not runs:
+        return base
+    totals = run_ratios([m[0] for m in runs], ratios)
+    sizes = np.array([m.end() - m.start() for m in runs])
+    random_runs = np.flatnonzero((totals >= LEAST) & (totals >= LEAST_EACH * sizes))
+    return sorted([*base, *((runs[k].start(), 3, runs[k].end()) for k in random_runs)])
+
+
+def without(text: str, found: list[Span]) -> str:
+    """The text with spaces in place of spans."""
+    parts, at = [], 0
+    for start, _, end in found:
+        if end > at:
+            parts += [text[at:start], " " * (end - max(at, start))]
+            at = end
+    return "".join([*parts, text[at:]])
 
 
-def ratio(value: str, ratios: np.ndarray) -> float:
-    """Log-likelihood ratio of a string of ``ALPHABET``; row 0 of the table holds first characters."""
-    codes = CODE[np.frombuffer(value.encode("ascii"), np.uint8)]
-    return float(ratios[np.concatenate([[0], codes[:-1] + 1]), codes].sum())
+def run_ratios(runs: list[str], ratios: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each string of ``ALPHABET``; row 0 of the table holds first characters."""
+    codes = CODE[np.frombuffer("\x00".join([*runs, ""]).encode("ascii"), np.uint8)]
+    steps = np.concatenate([[0], codes[:-1] + 1])
+    starts = np.cumsum([0, *(len(x) + 1 for x in runs[:-1])])
+    return np.add.reduceat(np.where(codes >= 0, ratios[steps, codes], 0.0), starts)
 
 
 def text_of(found: list[Span]) -> str:

@@ -6,7 +6,7 @@ import string
 from pyspark.sql import functions as F
 
 from colscope.llm.queries import QUERIES
-from colscope.llm.secret_scan import base_spans, find, redact, spans, text_of, train
+from colscope.llm.secret_scan import base_spans, find, redact, redacted, spans, text_of, train
 
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -63,3 +63,24 @@ def test_odd_rows(spark, make_docs):
     assert clean[3]["text"].endswith(" [assign]") and clean[4]["text"] == "token=abc"
     assert redact(docs, ratios).filter("text IS NULL").count() == 1
     assert find(make_docs(), ratios).count() == 0
+
+
+def test_recall_by_length_and_parts_of_runs(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ratios = train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    rng = random.Random(4)
+    mixed, letters = string.ascii_letters + string.digits, string.ascii_letters
+    made = lambda of, n: "".join(rng.choices(of, k=n))
+    for of in (mixed, letters):
+        recall = {}
+        for n in (5, 6, 7, 8, 10, 12, 16, 20, 24, 32):
+            texts = [f"the {made(of, n)} of" for _ in range(1000)]
+            recall[n] = sum((4, 3, 4 + n) in spans(t, ratios) for t in texts) / 1000
+        print(len(of), "characters, recall by length:", recall)
+        assert recall[8] >= 0.95 and min(recall[n] for n in recall if n >= 10) >= 0.98
+    for _ in range(50):
+        left, right = made("GHJKLMNPQRTVWXYZ23456789", 16), made("GHJKLMNPQRTVWXYZ23456789", 16)
+        text = f"the {left}{made('0123456789abcdef', 32)}{right} of"
+        assert [kind for _, kind, _ in spans(text, ratios)] == [3, 2, 3]
+        assert left[:8] not in redacted(text, ratios) and right[-8:] not in redacted(text, ratios)
