@@ -47,3 +47,17 @@ def test_odd_rows(spark):
     nothing = records(spark, [])
     assert audit(nothing, nothing).count() == 0
     assert {r["status"] for r in audit(nothing, records(spark, right)).collect()} == {"extra"}
+
+
+def test_pages_without_or_with_repeated_ids(spark, tmp_path):
+    rows = [(None, "u", "<a>"), (None, "u", "<b>"), (3, "v", "<c>"), (3, "v", "<c>"), (3, "v", "<dd>"), (7, "w", "<e>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = archived(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()
+    assert len(found) == len(rows)
+    for archive in (None, 0):
+        at = 0
+        for r in sorted((r for r in found if r["archive"] == archive), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += len(r["record"])
+    audited = [(r["archive"], r["status"]) for r in QUERIES["op3_merkle_fixity"](spark, str(tmp_path)).collect()]
+    assert sorted(audited, key=str) == sorted([(None, "match")] * 2 + [("0", "match")] * 3 + [("0", "missing")], key=str)
