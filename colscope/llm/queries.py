@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.llm import (
-    bpe, decontaminate, fixity, language, neardup, preference, quality, resampling, secret_scan, sharding,
+    bpe, decontaminate, fixity, language, neardup, preference, prefix_trie, quality, resampling, secret_scan, sharding,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,34 @@ def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
     )
+
+
+#: CRC-32 of the decimal id: every byte is added with the first of its eight shifts.
+CRC32 = (
+    "xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), "
+    "lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+)
+
+
+@register(
+    "op11_prefix_trie",
+    "WITH u AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL), "
+    "t AS (SELECT conv_id, {'role': role, 'text': text} AS u, row_number() OVER "
+    "(PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS pos FROM u), "
+    f"c AS (SELECT conv_id, {CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)), "
+    "r AS (SELECT c.conv_id, 0 AS side, t.pos, t.u FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= h "
+    "UNION ALL SELECT c.conv_id, 1, t.pos, t.u FROM c JOIN t USING (conv_id) WHERE t.pos > h), "
+    "s AS (SELECT c.conv_id, coalesce(list(r.u ORDER BY side, pos) FILTER (r.pos IS NOT NULL), []) AS q FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id), "
+    "k AS (SELECT conv_id, depth, q[1:depth] AS k FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS depth FROM s)), "
+    "n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs FROM k GROUP BY k, depth), "
+    "p AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1), "
+    "m AS (SELECT n.*, coalesce(p.n_children, 0) AS n_children, (n_convs - 1) * coalesce(strlen(k[depth].text), 0) AS own FROM n LEFT JOIN p USING (k)), "
+    "b AS (SELECT k[1:up] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved "
+    "FROM (SELECT k, n_children, own, unnest(range(0, depth + 1)) AS up FROM m) GROUP BY 1), "
+    "e AS (SELECT q AS k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM s GROUP BY q) "
+    "SELECT m.conv_id, m.depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, "
+    "CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256 "
+    "FROM m JOIN b USING (k) LEFT JOIN e USING (k) LEFT JOIN n o ON m.depth > 0 AND o.k = m.k[1:m.depth - 1]",
+)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_tree(*prefix_trie.rebuild(table(spark, folder, "conversations")))
