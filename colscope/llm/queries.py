@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.llm import (
-    bpe, decontaminate, fixity, language, neardup, preference, prefix_trie, quality, resampling, secret_scan, sharding,
+    alignment, bpe, decontaminate, fixity, language, neardup, preference, prefix_trie, quality, resampling,
+    secret_scan, sharding,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,3 +207,9 @@ CRC32 = (
 )
 def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_tree(*prefix_trie.rebuild(table(spark, folder, "conversations")))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignments(table(spark, folder, "documents"), *paths)
