@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colscope.llm import (
     alignment, bpe, decontaminate, fixity, language, neardup, preference, prefix_trie, quality, resampling,
-    secret_scan, sharding,
+    secret_scan, sharding, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,3 +213,12 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.alignments(table(spark, folder, "documents"), *paths)
+
+
+@register("op13_toxicity_cnn")
+def op13_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0"
+    model = toxicity.fit(docs, table(spark, folder, "labels"), f"NOT ({held_out})")
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.expr(f"coalesce({held_out}, false)").alias("held_out"), "score", "predicted", "lang_guess")
