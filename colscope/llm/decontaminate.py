@@ -7,10 +7,11 @@ Aho-Corasick automaton; around each hit, Myers' bit-parallel algorithm gives the
 of the item to any part of the window.
 
 Items come in blocks of at most ``BLOCK`` characters; a block and its automaton are all that a task
-holds, and each block is one pass over the documents.
+holds, and each block is one pass over the documents, written before the next one.
 
 Defined cases: null and blank texts and items match nothing; equal items are all reported; an item
-longer than a block has a block of its own; repeated rows and null ids are returned as they come; an
+longer than a block has a block of its own; repeated rows and null ids are returned as they come,
+also null item ids; an
 empty benchmark contaminates nothing; an empty table gives an empty result; other columns are ignored,
 ``clean`` keeps them.
 """
@@ -61,7 +62,8 @@ class Block:
     """Items (``id, text``) with the automaton of their pieces."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int) -> None:
-        self.ids: dict[str, list[int]] = defaultdict(list)
+        self.percent = percent
+        self.ids: dict[str, list[int | None]] = defaultdict(list)
         for item, text in items:
             if plain(text):
                 self.ids[plain(text)].append(item)
@@ -76,26 +78,46 @@ class Block:
             self.automaton.add_word(piece, (len(piece), found))
         self.automaton.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """``item, distance, end`` of the best occurrence of every item in a plain text."""
+    def matches(self, text: str) -> list[tuple[int | None, int, int]]:
+        """``item, distance, end`` of the best occurrence of every item in a plain text, items without id first.
+
+        The windows around the hits of an item are joined where they overlap, so no character is compared twice.
+        """
         if not self.ids:
             return []
-        best: dict[str, tuple[int, int]] = {}
-        seen: set[tuple[str, int]] = set()
+        starts: dict[str, set[int]] = defaultdict(set)
         for last, (size, places) in self.automaton.iter(text):
-            for item, offset, budget in places:
-                start = last - size + 1 - offset
-                if (item, start) in seen or best.get(item, (1,))[0] == 0:
-                    continue
-                seen.add((item, start))
-                if start >= 0 and text.startswith(item, start):
-                    best[item] = 0, start + len(item)
-                    continue
-                low = max(0, start - budget)
-                distance, end = least_distance(item, text[low : start + len(item) + budget])
-                if distance <= budget:
-                    best[item] = min(best.get(item, (distance, low + end)), (distance, low + end))
-        return sorted((i, *found) for item, found in best.items() for i in self.ids[item])
+            for item, offset, _ in places:
+                starts[item].add(last - size + 1 - offset)
+        best = {}
+        for item, found in starts.items():
+            exact = min((s for s in found if s >= 0 and text.startswith(item, s)), default=None)
+            if exact is not None:
+                best[item] = 0, exact + len(item)
+                continue
+            budget = len(item) * self.percent // 100
+            nearest = budget + 1, 0
+            for low, high in joined((max(0, s - budget), s + len(item) + budget) for s in sorted(found)):
+                distance, end = least_distance(item, text[low:high])
+                nearest = min(nearest, (distance, low + end))
+            if nearest[0] <= budget:
+                best[item] = nearest
+        found = [(i, *where) for item, where in best.items() for i in self.ids[item]]
+        return sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
+
+
+def joined(windows: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Ordered windows, those that overlap as one."""
+    open_window = None
+    for low, high in windows:
+        if open_window is None or low > open_window[1]:
+            if open_window is not None:
+                yield open_window
+            open_window = low, high
+        else:
+            open_window = open_window[0], max(open_window[1], high)
+    if open_window is not None:
+        yield open_window
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -166,8 +188,12 @@ def _searched(found: DataFrame, items: _Items, percent: int, last: bool) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` in which no item is found, as they are."""
-    for block in blocks_of(benchmark):
-        docs = _without(docs, _Items(docs.sparkSession, block), percent)
+    blocks = blocks_of(benchmark)
+    block = next(blocks, None)
+    while block is not None:
+        docs, block = _without(docs, _Items(docs.sparkSession, block), percent), next(blocks, None)
+        if block is not None:  # one block and its automaton at a time
+            docs = save(docs, "cleaned")
     return docs
 
 

@@ -1,9 +1,10 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from colscope.llm import decontaminate
-from colscope.llm.decontaminate import Block, clean, find, least_distance, plain
+from colscope.llm.decontaminate import Block, clean, find, joined, least_distance, plain
 from colscope.llm.queries import QUERIES
 
 
@@ -73,3 +74,29 @@ def test_odd_rows_and_blocks(spark, make_docs, monkeypatch):
         assert sorted(r["doc_id"] for r in clean(docs, benchmark).collect()) == [1, 1, 4]
     assert find(make_docs(), benchmark).count() == 0
     assert clean(docs, benchmark.limit(0)).count() == 6
+
+
+def test_null_item_id_and_a_repeated_passage(spark, make_docs):
+    passage = "many words that stand in a passage of the benchmark and are shared by all of its items"
+    items = [(None, passage + " first"), (2, passage + " first"), *((k, f"{passage} and then item {k} goes on in its own way") for k in range(3, 23))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"a {passage} first b", f"{passage} and " * 900, "clean"]
+    found = {r["doc_id"]: r["matches"] for r in find(make_docs(*texts), benchmark).collect()}
+    assert [(m["item_id"], m["distance"]) for m in found[0]] == [(None, 0), (2, 0)] and not found[2]
+    started = time.time()
+    Block(items, 5).matches(plain(texts[1]))
+    assert time.time() - started < 5
+    assert [r["doc_id"] for r in clean(make_docs(*texts), benchmark).collect()][-1] == 2
+
+
+def test_joined_windows():
+    assert list(joined([(0, 5), (3, 8), (8, 9), (11, 12), (11, 20)])) == [(0, 9), (11, 20)] and list(joined([])) == []
+
+
+def test_clean_takes_one_block_at_a_time(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 20)
+    benchmark = spark.createDataFrame([(k, f"benchmark passage {k}") for k in range(5)], "item_id long, text string")
+    docs = make_docs(*[f"has benchmark passage {k}" for k in range(5)], "none")
+    found = clean(docs, benchmark)
+    assert [r["doc_id"] for r in found.collect()] == [5]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
