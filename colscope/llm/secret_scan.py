@@ -5,8 +5,8 @@ characters of ``ALPHABET`` is a candidate, also what a base span leaves of a run
 these characters, one of random strings and one of ordinary identifiers, give the log-likelihood ratio
 of the candidate; it is a secret if the ratio is at least ``LEAST`` in all and ``LEAST_EACH`` for each
 character. The models are trained on labelled samples: random are the values that the base finds, and
-``MADE`` strings drawn from a seeded generator so that small tables suffice; ordinary are the other
-runs of 5 or more characters. Training reads the documents of about ``SAMPLE`` labelled ids
+``MADE`` strings drawn from a seeded generator so that small tables suffice; ordinary are
+runs of 5 or more characters outside of base spans. Training reads the documents of about ``SAMPLE`` labelled ids
 at most.
 
 Spans count code points, end exclusive. Base spans always stay; spans of the models do not overlap them.
@@ -131,8 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 for start, kind, end in base:
                     value = text[start:end]
                     count_steps(counts[0], ASSIGN.fullmatch(value)[1] if kind == 0 else value)
-                held = [(a, b) for a, _, b in base]
-                runs = [m[0] for m in ANY_RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b in held)]
+                runs = ANY_RUN.findall(without(text, base))
                 codes = CODE[np.frombuffer("\x00".join([*runs, ""]).encode("ascii"), np.uint8)]
                 steps = np.concatenate([[0], codes[:-1] + 1])
                 np.add.at(counts[1], (steps[codes >= 0], codes[codes >= 0]), 1)

@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
+from colscope.llm import secret_scan
 from colscope.llm.queries import QUERIES
 from colscope.llm.secret_scan import base_spans, find, redact, redacted, spans, text_of, train
 
@@ -84,3 +86,11 @@ def test_recall_by_length_and_parts_of_runs(spark):
         text = f"the {left}{made('0123456789abcdef', 32)}{right} of"
         assert [kind for _, kind, _ in spans(text, ratios)] == [3, 2, 3]
         assert left[:8] not in redacted(text, ratios) and right[-8:] not in redacted(text, ratios)
+
+
+def test_training_on_a_long_list_of_hashes(spark, make_docs):
+    lines = "\n".join(f"{k:032x} file_name_{k}" for k in range(100_000))  # about 5 MB
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    started = time.time()
+    ratios = secret_scan.train(make_docs(lines), labels)
+    assert time.time() - started < 30 and ratios.shape[1] == len(secret_scan.ALPHABET)
