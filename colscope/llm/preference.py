@@ -16,26 +16,30 @@ something to learn; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD = "concat('<|', coalesce(x.role, 'unknown'), '|>\\n')"
 BODY = "concat(replace(coalesce(x.text, ''), '<|', '<\\\\|'), '<|end|>')"
-SPANS = "array<struct<start: int, end: int>>"
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """``pair_id, prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask, usable``.
 
-    Both inputs have ``pair_id, turn, role, text``.
+    Both inputs have ``pair_id, turn, role, text``. Each turn knows where its body starts and ends in the rendered side, so
+    masks need no walk along a conversation. One exchange serves the turns and the pairs.
     """
-    turn = F.struct("turn", "role", "text")
     sides = [
-        side.select("pair_id", turn.alias("turn"), F.lit(name).alias("side"))
+        side.select("pair_id", F.lit(name).alias("side"), "turn", "role", "text")
         for side, name in ((chosen, "chosen"), (rejected, "rejected"))
     ]
-    pairs = sides[0].union(sides[1]).groupBy("pair_id").agg(*[
-        F.array_sort(F.collect_set(F.when(F.col("side") == name, F.col("turn")))).alias(name) for name in ("chosen", "rejected")
+    turns = sides[0].union(sides[1]).repartition("pair_id").distinct()
+    head, body = (F.expr(f"length({x.replace('x.', '')})") for x in (HEAD, BODY))
+    upto = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.withColumn("end", (F.sum(head + body + 1).over(upto) - 1).cast("int")).withColumn("start", F.col("end") - body)
+    turn = F.struct("turn", "role", "text", "start", "end")
+    pairs = turns.groupBy("pair_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("side") == name, turn))).alias(name) for name in ("chosen", "rejected")
     ])
     same = "a IS NOT NULL AND b IS NOT NULL AND a.role <=> b.role AND a.text <=> b.text"
     pairs = pairs.withColumn(
@@ -45,27 +49,17 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     cut = pairs.select(
         "pair_id", "prefix_turns",
         F.expr("slice(chosen, 1, prefix_turns)").alias("prompt"),
+        F.expr("IF(prefix_turns > 0, chosen[prefix_turns - 1].end + 1, 0)").alias("prompt_length"),
         *[F.expr(f"slice({name}, prefix_turns + 1, size({name}))").alias(name) for name in ("chosen", "rejected")],
     )
-    masks = {name: F.expr(_mask(name)) for name in ("chosen", "rejected")}
+    mask = "transform(filter({0}, x -> x.role = 'assistant'), x -> named_struct('start', x.start - prompt_length, 'end', x.end - prompt_length)) AS {0}_mask"
     return cut.select(
         "pair_id", "prefix_turns",
-        *[F.expr(f"array_join(transform({name}, x -> concat({HEAD}, {BODY}, '\\n')), '')").alias(name) for name in ("prompt", "chosen", "rejected")],
-        *[mask.alias(f"{name}_mask") for name, mask in masks.items()],
+        *[F.expr(f"array_join(transform({name}, x -> concat({HEAD}, {BODY}, '\n')), '')").alias(name) for name in ("prompt", "chosen", "rejected")],
+        *[F.expr(mask.format(name)) for name in ("chosen", "rejected")],
     ).withColumn("usable", (F.size("chosen_mask") > 0) & (F.size("rejected_mask") > 0))
 
 
-def _mask(turns: str) -> str:
-    """The spans of the assistant turns within the rendered turns."""
-    start = f"acc.at + length({HEAD})"
-    end = f"{start} + length({BODY})"
-    spans = f"IF(x.role = 'assistant', concat(acc.spans, array(named_struct('start', {start}, 'end', {end}))), acc.spans)"
-    return (
-        f"aggregate({turns}, named_struct('at', 0, 'spans', CAST(array() AS {SPANS})), "
-        f"(acc, x) -> named_struct('at', {end} + 1, 'spans', {spans}), acc -> acc.spans)"
-    )
-
-
 def with_neighbours_answer(turns: DataFrame) -> DataFrame:
     """Rejected counterparts of conversations, for tables without preferences.
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,16 @@ def test_main_path_has_no_python(spark, sf):
 
     plan = QUERIES["op5_preference_format"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_very_long_conversation(spark):
+    turns = spark.range(100_000).selectExpr("1L AS pair_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    other = turns.withColumn("text", F.when(F.col("turn") < 10, F.col("text")).otherwise("x"))
+    started = time.time()
+    row = format_preferences(turns, other).selectExpr(
+        "prefix_turns", "size(chosen_mask) AS n", "element_at(chosen_mask, -1).end AS last", "length(chosen) AS length", "rejected_mask[0] AS first"
+    ).first()
+    assert time.time() - started < 30
+    assert row["prefix_turns"] == 10 and row["n"] == 49_995 and row["last"] == row["length"] - 1
+    start = len("<|user|>\nx<|end|>\n<|assistant|>\n")
+    assert (row["first"]["start"], row["first"]["end"]) == (start, start + len("x<|end|>"))
