@@ -31,6 +31,8 @@ from colscope.llm.common import id_and_text, map_rows, mix, save
 from colscope.llm.components import connected_components
 
 POSITIONS = 64
+#: Levels of a tree; what is open below them is compared in full.
+LEVELS = POSITIONS
 #: Rows of the (shingles x positions) hash table that are held at once.
 CHUNK = 4096
 #: Sets of a large node that are compared together, and about how many shingles these have.
@@ -107,7 +109,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .agg(F.min("doc_id").alias("id"), F.any_value("tag").alias("tag"), F.any_value("nodes").alias("nodes")),
         "classes",
     )
-    parts = similar_classes(docs, classes.select("id", "tag", "nodes"), settings)
+    repeated = save(sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    of_one_id = sketches.join(repeated, "doc_id").join(classes.select("set_low", "set_high", "id"), ["set_low", "set_high"])
+    shared = of_one_id.groupBy("doc_id").agg(F.min("id").alias("a"))
+    shared = save(of_one_id.join(shared, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b").distinct(), "shared")
+    parts = similar_classes(docs, classes.select("id", "tag", "nodes"), settings, shared)
     named = save(
         classes.select("set_low", "set_high", "id")
         .join(parts, "id", "left")
@@ -119,6 +125,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .join(named, ["set_low", "set_high"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     )
+    if not repeated.isEmpty():  # rows without words follow the other rows of their id
+        least = found.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        found = found.join(save(least, "least"), "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
     return found.select(
         "doc_id", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
@@ -155,19 +164,21 @@ def _sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     return map_rows(id_and_text(docs), schema, rows)
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """``id, component`` of all classes (``id, tag, nodes``) that are linked to another one."""
+def similar_classes(docs: DataFrame, classes: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
+    """``id, component`` of all classes (``id, tag, nodes``) that are linked to another one; ``known`` links count too."""
     members = classes.select("id", "tag", F.explode("nodes").alias("node"))
     sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     small = _of_nodes(members, sizes.filter(F.col("n") <= settings.node_limit))
     large = save(_of_nodes(members, sizes.filter(F.col("n") > settings.node_limit), "n"), "large")
     proposed = save(_pairs_in_small(small, settings).union(_pairs_with_pivots(large, settings)).distinct(), "pairs")
-    links, level = save(_confirmed(docs, proposed, settings), "links"), 0
+    links, level = save(_confirmed(docs, proposed, settings).union(known), "links"), 0
     parts = connected_components(links)
-    while not large.isEmpty() and level < POSITIONS:
+    while not large.isEmpty() and level < LEVELS:
         named, counts = _unresolved(large, parts)
         early = (F.col("outside") <= settings.outsiders[0]) & (2 * F.col("outside") <= F.col("n"))
         few = early if level < settings.early else F.col("outside") <= settings.outsiders[1]
+        if level + 1 == LEVELS:
+            few = F.lit(True)
         more = save(_links_of_outsiders(docs, named, counts.filter(few), settings), "links")
         members = save(_branch(_of_nodes(named, counts.filter(~few)), level, settings), "members")
         sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")

@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from colscope.llm import neardup
 from colscope.llm.components import connected_components
-from colscope.llm.neardup import Settings, near_duplicates
+from colscope.llm.neardup import Settings, near_duplicates, shingles
+from colscope.llm.queries import QUERIES
 
 THREE = Settings(words=3, percent=85)
 
@@ -89,3 +92,62 @@ def test_components_of_a_chain_and_a_star(spark):
     found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["id"]: r["component"] for r in found} == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)}
     assert len(found) == 101
+
+
+def test_all_texts_of_an_id_share_a_component(spark, make_docs):
+    rows = [(3, "p q r s"), (5, "p q r s"), (5, "u v w x y z"), (9, "u v w x y z"), (9, None), (11, "alone in here"), (12, "")]
+    found = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_duplicates(make_docs(*rows), Settings(words=3, percent=85)).collect()}
+    assert {k: v for k, v in found.items() if k[0] in (3, 5, 9)} == {
+        (3, 2): (3, True), (5, 2): (3, False), (5, 4): (3, False), (9, 4): (3, False), (9, 0): (3, False),
+    }
+    assert found[11, 1] == (11, True) and found[12, 0] == (12, True)
+
+
+def test_nodes_that_are_open_after_the_last_level_are_compared(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "LEVELS", 1)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(120):  # two families that meet in the same nodes
+        words = list(base) if k % 2 else base[:30] + [f"v{j}" for j in range(30)]
+        words[rng.randrange(60)] = f"x{k}"
+        texts.append(" ".join(words))
+    settings = Settings(words=1, percent=80, trees=2, node_limit=3, outsiders=(0, 0))
+    expected = {(r["doc_id"], r["component_id"]) for r in near_duplicates(make_docs(*texts), Settings(words=1, percent=80)).collect()}
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(make_docs(*texts), settings).collect()} == expected
+
+
+def test_whole_table_by_exact_links(spark):
+    """Components at sf0.1 against an exact join on the rarest shingles of each set."""
+    folder, percent = "/root/testdata/sf0.1", 85
+    found = {r["doc_id"]: r["component_id"] for r in QUERIES["op8_minhash_neardup"](spark, folder).collect()}
+    sets = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        values = shingles(None if r["text"] is None else r["text"].encode(), 3)
+        if len(values):
+            sets.setdefault(values.tobytes(), []).append(r["doc_id"])
+    classes = [(np.frombuffer(k, np.uint64), min(v)) for k, v in sets.items()]
+    number, counts = np.unique(np.concatenate([v for v, _ in classes]), return_counts=True)
+    parent = {i: i for _, i in classes}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    held, index = {}, {}
+    for values, i in sorted(classes, key=lambda x: len(x[0])):
+        ranked = values[np.lexsort((values, counts[np.searchsorted(number, values)]))]
+        prefix = ranked[: len(values) - -(-percent * len(values) // 100) + 1].tolist()
+        for j in {j for x in prefix for j in index.get(x, ())}:
+            if 100 * len(held[j]) >= percent * len(values):
+                both = len(np.intersect1d(values, held[j], assume_unique=True))
+                if 100 * both >= percent * (len(values) + len(held[j]) - both):
+                    a, b = root(i), root(j)
+                    parent[max(a, b)] = min(a, b)
+        held[i] = values
+        for x in prefix:
+            index.setdefault(x, []).append(i)
+    for k, v in sets.items():
+        for doc in v:
+            assert found[doc] == root(min(v))
