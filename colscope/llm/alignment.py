@@ -82,22 +82,20 @@ def diagonal_groups(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]
     return np.array(found, np.int64).reshape(-1, 4), np.array(links, np.int64).reshape(-1, 2)
 
 
-def ends_of_groups(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each group, stretches taken apart, where its tokens of A and of B end."""
+def ends_of_groups(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each group, stretches taken apart, where its tokens of A and of B end, and whether it is one-to-one."""
     i, j, n, m = groups.T
-    times = np.where(m == 0, n, 1)
-    each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return (
-        np.repeat(i + np.where(m == 0, 1, n), times) + each,
-        np.repeat(j + np.where(m == 0, 1, m), times) + each,
-    )
+    straight = m == 0
+    times = np.where(straight, n, 1)
+    first = np.cumsum(times) - times
+    shift_a, shift_b = i + np.where(straight, 1, n) - first, j + np.where(straight, 1, m) - first
+    each = np.arange(first[-1] + times[-1])
+    return each + np.repeat(shift_a, times), each + np.repeat(shift_b, times), np.repeat(straight, times)
 
 
-def all_links(groups: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of A and of B of every link."""
-    straight = groups[groups[:, 3] == 0]
-    a, b = ends_of_groups(straight)
-    return np.concatenate([a - 1, links[:, 0]]), np.concatenate([b - 1, links[:, 1]])
+def all_links(to_a: np.ndarray, to_b: np.ndarray, straight: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and of B of every link, from ``ends_of_groups`` and the links of irregular groups."""
+    return np.concatenate([to_a[straight] - 1, links[:, 0]]), np.concatenate([to_b[straight] - 1, links[:, 1]])
 
 
 def byte_level_ranks(content: bytes) -> dict[bytes, int]:
@@ -126,11 +124,10 @@ class Pair:
         if len(self.bytes_b) > B_IDS:
             raise ValueError(f"B has more than {B_IDS} pieces")
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
-        # Texts of the ids, twice the id plus whether it ends its side of a group.
-        self.names = [
-            np.array([f"{i}{mark}" for i in range(len(side)) for mark in (",", last)], object)
-            for side, last in ((self.bytes_a, "|"), (self.bytes_b, ";"))
-        ]
+        # Decimal ids and the mark behind them, filled up with zero bytes: two rows for each id, of A and then of B;
+        # the second of the two ends its side of a group.
+        names = [b"%d%s" % (i, mark) for side, last in ((self.bytes_a, b"|"), (self.bytes_b, b";")) for i in range(len(side)) for mark in (b",", last)]
+        self.names = np.array(names).view(np.uint8).reshape(len(names), -1)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -145,37 +142,39 @@ class Pair:
             cls.held = files.value, cls(*files.value)
         return cls.held[1]
 
-    def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+    def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, bytes, np.ndarray, np.ndarray]]:
         """For each text: tokens of A and of B, groups, the groups as text, the linked pairs, the links of each."""
         cut = [stretches(" " + text) if text else [] for text in texts]
         encoded = iter(self.b.encode([part[1:] for parts in cut for part in parts], num_threads=1))
         for parts in cut:
             found = [self._part(part, ids) for part, ids in [(part, next(encoded)) for part in parts]]
             if not found or None in found:
-                yield 0, 0, 0, "", np.empty(0, np.int32), np.empty(0, np.int32)
+                yield 0, 0, 0, b"", np.empty(0, np.int32), np.empty(0, np.int32)
                 continue
             *counts, listed, codes = zip(*found)
             pairs, times = np.unique(np.concatenate(codes), return_counts=True)
-            yield *map(sum, counts), "".join(listed)[:-1], pairs.astype(np.int32), times.astype(np.int32)
+            yield *map(sum, counts), b"".join(listed)[:-1], pairs.astype(np.int32), times.astype(np.int32)
 
     def _part(self, part: str, ids_b: list[int]) -> tuple | None:
         """As ``aligned`` for a part of a text, with a code for each link; none if B is not the text again."""
         content = part.encode()
         if b"".join(map(self.bytes_b.__getitem__, ids_b)) != content:
             return None
-        a, b = self.a.encode_to_numpy(part, disallowed_special=()).astype(np.int64), np.array(ids_b)
+        a, b = np.array(self.a.encode_ordinary(part)), np.array(ids_b)
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         if ends_a[-1] != len(content):
             return None
         groups, links = diagonal_groups(ends_a.tolist(), ends_b.tolist())
-        to_a, to_b = ends_of_groups(groups)
-        listed = np.empty(len(a) + len(b), object)
-        for ids, names, to, others_before in ((a, self.names[0], to_a, to_b - np.diff(to_b, prepend=0)), (b, self.names[1], to_b, to_a)):
-            last = np.zeros(len(ids), np.int64)
-            last[to - 1] = 1
-            listed[np.arange(len(ids)) + np.repeat(others_before, np.diff(to, prepend=0))] = names[2 * ids + last]
-        at_a, at_b = all_links(groups, links)
-        return len(a), len(b), len(to_a), "".join(listed.tolist()), a[at_a] * B_IDS + b[at_b]
+        to_a, to_b, straight = ends_of_groups(groups)
+        in_a, in_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        named = np.empty(len(a) + len(b), np.int64)
+        named[np.arange(len(a)) + np.repeat(to_b - in_b, in_a)] = 2 * a
+        named[np.arange(len(b)) + np.repeat(to_a, in_b)] = 2 * (b + len(self.bytes_a))
+        named[to_a + to_b - in_b - 1] += 1
+        named[to_a + to_b - 1] += 1
+        listed = self.names[named].ravel()
+        at_a, at_b = all_links(to_a, to_b, straight, links)
+        return len(a), len(b), len(to_a), listed[listed != 0].tobytes(), a[at_a] * B_IDS + b[at_b]
 
 
 def stretches(text: str) -> list[str]:
@@ -214,7 +213,7 @@ def align(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
             for part in pieces(batch):
                 found = list(zip(*Pair.get(files).aligned(part["text"].to_pylist())))
                 numbers = [pa.array(x, pa.int64()) for x in found[:3]]
-                groups = pa.array(found[3], pa.string())
+                groups = pa.array(found[3], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *numbers, groups, *map(lists, found[4:])], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.llm import (
     alignment, bpe, decontaminate, fixity, language, neardup, preference, prefix_trie, quality, resampling,
     secret_scan, sharding, toxicity,
 )
+from colscope.llm.common import save
+from colscope.llm.ordered import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,23 +92,24 @@ PAGES_PER_ARCHIVE = 500
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """``archive, offset, record, page_id, damaged``: runs of page ids as archives of WARC records."""
+    """``archive, offset, length, sha256, held_sha256, page_id``: runs of page ids as archives of WARC records.
+
+    ``held_sha256`` is that of the replica's copy. Pages are hashed where they are read; equal records of one id, or
+    of none, lie one behind the other.
+    """
     html = "coalesce(html, '')"
+    damaged = f"IF(page_id % 97 = 5, translate({html}, chr(60), chr(62)), {html})"
     records = pages.selectExpr(
         "page_id", f"CAST(floor(page_id / {PAGES_PER_ARCHIVE}) AS LONG) AS archive",
         f"encode({RECORD.format(html=html)}, 'UTF-8') AS record",
-        f"encode({RECORD.format(html=f'translate({html}, chr(60), chr(62))')}, 'UTF-8') AS damaged",
+        f"IF(page_id % 97 = 5, encode({RECORD.format(html=damaged)}, 'UTF-8'), NULL) AS damaged",
     )
-    # The key is never null, and only equal records of one id share it; these lie one behind the other.
-    known = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    records = records.withColumn("key", F.sha2(F.concat(known.cast("binary"), "record", "damaged"), 256))
-    sizes = records.select("key", "page_id", "archive", F.octet_length("record").cast("long").alias("size"))
-    sizes = sizes.groupBy("archive", "page_id", "key", "size").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("archive").orderBy("page_id", "key").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("size") * F.col("n")).over(earlier), F.lit(0))
-    offsets = sizes.select("key", "size", "n", start.alias("start"))
-    each = F.explode(F.expr("transform(sequence(0L, n - 1), k -> start + k * size)")).alias("offset")
-    return records.dropDuplicates(["key"]).join(offsets, "key").select("page_id", "archive", "record", "damaged", each)
+    hashed = records.selectExpr(
+        "page_id", "archive", "CAST(octet_length(record) AS LONG) AS length", "sha2(record, 256) AS sha256", "sha2(damaged, 256) AS damaged",
+        "coalesce(CAST(archive AS STRING), 'none') AS shelf", "monotonically_increasing_id() AS tie",
+    ).withColumn("held_sha256", F.coalesce("damaged", "sha256")).drop("damaged")
+    placed = running(hashed, "shelf", ["page_id", "sha256", "tie"], {"upto": ("sum", "length")})
+    return placed.selectExpr("archive", "upto - length AS offset", "length", "sha256", "held_sha256", "page_id")
 
 
 @register(
@@ -121,10 +124,10 @@ def archived(pages: DataFrame) -> DataFrame:
 )
 def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as archives, compared with a replica in which some records are damaged or lost."""
-    archives = archived(table(spark, folder, "pages"))
-    held = F.when(F.col("page_id") % 97 == 5, F.col("damaged")).otherwise(F.col("record"))
-    replica = archives.filter("coalesce(page_id % 211 <> 7, true)").select("archive", "offset", held.alias("record"))
-    return fixity.audit(archives.select("archive", "offset", "record"), replica)
+    archives = save(archived(table(spark, folder, "pages")), "archives")
+    shelf = F.coalesce(F.concat(F.lit("="), F.col("archive").cast("string")), F.lit("none")).alias("archive")
+    replica = archives.filter("coalesce(page_id % 211 <> 7, true)").select(shelf, "offset", "length", F.col("held_sha256").alias("sha256"))
+    return fixity.audit_leaves(archives.select(shelf, "offset", "length", "sha256"), replica)
 
 
 @register("op4_importance_resampling")

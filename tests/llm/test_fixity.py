@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -29,10 +30,17 @@ def test_query_by_brute_force(spark, sf):
     found = {(int(r["archive"]), r["offset"]): r["status"] for r in QUERIES["op3_merkle_fixity"](spark, sf).collect()}
     assert found == {
         (r["archive"], r["offset"]): "missing" if r["page_id"] % 211 == 7 else
-        "corrupt" if r["page_id"] % 97 == 5 and r["damaged"] != r["record"] else "match"
+        "corrupt" if r["sha256"] != r["held_sha256"] else "match"
         for r in rows
     }
     assert {"corrupt", "missing", "match"} <= set(found.values())
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in rows:
+        url, html = pages[r["page_id"]]["url"] or "", pages[r["page_id"]]["html"] or ""
+        for body, sha in ((html, r["sha256"]), (html.replace("<", ">") if r["page_id"] % 97 == 5 else html, r["held_sha256"])):
+            head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body.encode())}\r\n\r\n"
+            record = f"{head}{body}\r\n\r\n".encode()
+            assert sha == hashlib.sha256(record).hexdigest() and r["length"] == len(record)
 
 
 def test_odd_rows(spark):
@@ -58,6 +66,17 @@ def test_pages_without_or_with_repeated_ids(spark, tmp_path):
         at = 0
         for r in sorted((r for r in found if r["archive"] == archive), key=lambda r: r["offset"]):
             assert r["offset"] == at
-            at += len(r["record"])
+            at += r["length"]
     audited = [(r["archive"], r["status"]) for r in QUERIES["op3_merkle_fixity"](spark, str(tmp_path)).collect()]
     assert sorted(audited, key=str) == sorted([(None, "match")] * 2 + [("0", "match")] * 3 + [("0", "missing")], key=str)
+
+
+def test_all_offsets_null_and_many_copies(spark):
+    left = [("a", None, bytes([k % 3])) for k in range(900)] + [(None, None, b"n")] * 50
+    right = [("a", None, bytes([k % 3])) for k in range(897)] + [("a", None, b"odd")] + [(None, None, b"n")] * 52
+    found = Counter((r["archive"], r["offset"], r["length"], r["status"]) for r in audit(records(spark, left), records(spark, right)).collect())
+    assert found == {
+        ("a", -1, 1, "match"): 897, ("a", -1, 1, "corrupt"): 1, ("a", -1, 1, "missing"): 2, (None, -1, 1, "match"): 50, (None, -1, 1, "extra"): 2,
+    }
+    same = records(spark, left)
+    assert {r["status"] for r in audit(same, same.repartition(5)).collect()} == {"match"}
