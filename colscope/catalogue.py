@@ -798,6 +798,73 @@ def csv_multiline_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return source.df.selectExpr("CAST(c0 AS BIGINT) AS conv_id", "CAST(c1 AS BIGINT) AS turn", "c2 AS text")
 
 
+TURNS_SQL = "SELECT conv_id, turn, role, text FROM conversations"
+
+
+def _turns_back(source: Table) -> DataFrame:
+    return source.named().selectExpr("CAST(conv_id AS BIGINT) AS conv_id", "CAST(turn AS BIGINT) AS turn", "role", "text")
+
+
+@register("csv_multiline_default", TURNS_SQL)
+def csv_multiline_default(spark: SparkSession, folder: str) -> DataFrame:
+    """Quoted line breaks with default options, in files that are read in many splits."""
+    path = _write_csv(load(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+    return _turns_back(open_delimited(spark, path, DelimitedOptions(delimiter="comma")))
+
+
+@register("csv_skip_multiline", TURNS_SQL)
+def csv_skip_multiline(spark: SparkSession, folder: str) -> DataFrame:
+    """Quoted line breaks behind skipped lines, one of which holds a lone quote."""
+    quoted = "concat('\"', replace(text, '\"', '\"\"'), '\"')"
+    line = f"concat_ws(',', conv_id, turn, role, {quoted})"
+    first = ('An export, "unfinished', "", "conv_id,turn,role,text")
+    path = _write_lines(load(spark, folder, "conversations").repartition(3), line, first)
+    return _turns_back(open_delimited(spark, path, DelimitedOptions(delimiter="comma", skip_rows=2)))
+
+
+@register(
+    "csv_mixed_headers",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS status, "
+    "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority FROM orders",
+)
+def csv_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one folder whose headers differ in order and names."""
+    target = scratch_folder(spark)
+    layouts = (
+        ("o_orderkey AS key", "o_orderstatus AS status"),
+        ("o_orderpriority AS priority", "o_orderstatus AS status", "o_orderkey AS key"),
+        ("o_orderpriority AS priority", "o_orderkey AS key"),
+    )
+    for number, columns in enumerate(layouts):
+        df = load(spark, folder, "orders").where(f"o_orderkey % 3 = {number}").selectExpr(*columns)
+        _write_csv(df, f"{target}/written-{number}")
+    source = open_delimited(spark, target, DelimitedOptions(delimiter="comma"))
+    return source.named().selectExpr("CAST(key AS BIGINT) AS o_orderkey", "status", "priority")
+
+
+@register(
+    "csv_record_cap",
+    "SELECT CAST(max(strlen(CAST(conv_id AS VARCHAR)) + strlen(text) + 3) AS BIGINT) AS longest, TRUE AS rejected, FALSE AS rejected_at_longest FROM conversations",
+)
+def csv_record_cap(spark: SparkSession, folder: str) -> DataFrame:
+    """The cap on record bytes, before anything is decoded: the longest record passes, one byte less fails."""
+    df = load(spark, folder, "conversations")
+    path = scratch_folder(spark)
+    df.selectExpr("concat(conv_id, ',\"', replace(text, '\"', '\"\"'), '\"') AS value").write.text(path)
+    longest = df.selectExpr("max(octet_length(CAST(conv_id AS STRING)) + octet_length(replace(text, '\"', '\"\"')) + 3) AS n").first()["n"]
+    options, rejected = DelimitedOptions(delimiter="comma", header="none"), []
+    for cap in (longest - 1, longest):
+        try:
+            open_delimited(spark, path, options, max_record_bytes=cap)
+            rejected.append(False)
+        except ValueError:
+            rejected.append(True)
+    return df.selectExpr(
+        "CAST(max(octet_length(CAST(conv_id AS STRING)) + octet_length(text) + 3) AS BIGINT) AS longest",
+        f"{rejected[0]} AS rejected", f"{rejected[1]} AS rejected_at_longest",
+    )
+
+
 @register(
     "csv_ragged",
     "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status, "

@@ -115,17 +115,89 @@ def test_skipped_lines_across_splits_and_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_skipped_part_spanning_splits(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("colscope.sources.delimited.SMALLEST_SPLIT", 1)
+@pytest.fixture()
+def splits(spark):
+    """Sets the size of splits for one test."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {name: spark.conf.get(name) for name in names}
+
+    def change(size):
+        for name in names:
+            spark.conf.set(name, str(size))
+
+    yield change
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def test_skipped_part_spanning_splits(spark, tmp_path, splits):
     lines = [f"skip {i} {'x' * 40}" for i in range(500)] + ["key"] + [str(i) for i in range(4000)]
     path = write(tmp_path, "big.csv", "\n".join(lines) + "\n")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
-    try:
-        table = open_delimited(spark, path, DelimitedOptions(skip_rows=500, delimiter="comma"))
-        assert sorted(int(r[0]) for r in rows(table)) == list(range(4000))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    splits(5000)
+    table = open_delimited(spark, path, DelimitedOptions(skip_rows=500, delimiter="comma"))
+    assert sorted(int(r[0]) for r in rows(table)) == list(range(4000))
+    lines = ['odd " quote'] * 7 + ["key"] + [str(i) for i in range(30)]
+    path = write(tmp_path, "small.csv", "\n".join(lines) + "\n")
+    splits(64)
+    table = open_delimited(spark, path, DelimitedOptions(skip_rows=7, delimiter="comma"))
+    assert sorted(int(r[0]) for r in rows(table)) == list(range(30))
+
+
+@pytest.mark.parametrize("size", [48, 1000])
+@pytest.mark.parametrize("skip", [0, 3])
+def test_line_breaks_in_quotes_by_default(spark, tmp_path, splits, size, skip):
+    rng = random.Random(size + skip)
+    cells = ["plain", "two\nlines", 'a "quoted" word', "", "x,y", "long " * 30 + "\n\n" + "end", "c\r\nd", "é\n", '5" pipe']
+    expected, text = [], 'intro "\n\nmore\n' if skip else ""
+    text += 'id,"first\nname",note\n'
+    for i in range(24):
+        row = [str(i), rng.choice(cells), rng.choice(cells)]
+        expected.append(tuple(x or None for x in row))
+        quoted = [f'"{x.replace(chr(34), chr(34) * 2)}"' if rng.random() < 0.3 or any(c in x for c in ',\n\r') or x.startswith(chr(34)) else x for x in row]
+        text += ",".join(quoted) + rng.choice(["\n", "\r\n", "\n\n"])
+    path = write(tmp_path, "t.csv", text)
+    splits(size)
+    table = open_delimited(spark, path, DelimitedOptions(delimiter="comma", skip_rows=skip))
+    assert table.columns == ("id", "first\nname", "note")
+    assert sorted(rows(table), key=lambda r: int(r[0])) == expected
+    assert [r[0] for r in table.df.orderBy(*table.order).collect()] == [str(i) for i in range(24)]
+
+
+def test_other_escapes_and_encodings_with_line_breaks(spark, tmp_path, splits):
+    splits(40)
+    text = "name;note\nAda;'can\\'t\nstop; here'\nBob;'x'\n"
+    table = open_delimited(spark, write(tmp_path, "e.csv", text), DelimitedOptions(delimiter="semicolon", quote="'", escape="\\"))
+    assert sorted(rows(table)) == [("Ada", "can't\nstop; here"), ("Bob", "x")]
+    for encoding, codec in (("latin1", "latin-1"), ("utf16le", "utf-16-le")):
+        path = write(tmp_path, f"{encoding}.csv", 'a,b\n1,"Zürich\nBern"\n2,"é"\n'.encode(codec))
+        assert sorted(rows(open_delimited(spark, path, DelimitedOptions(encoding=encoding)))) == [("1", "Zürich\nBern"), ("2", "é")]
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, "open.csv", 'a,b\n1,"open\n2,x\n')
+    assert rows(open_delimited(spark, path)) == [("1", "open\n2,x\n")] or rows(open_delimited(spark, path)) == [("1", "open\n2,x")]
+    monkeypatch.setattr("colscope.sources.records.LONGEST_OPEN", 4)
+    with pytest.raises(Exception, match="never closed"):
+        rows(open_delimited(spark, path))
+
+
+def test_headers_meet_by_name(spark, tmp_path):
+    write(tmp_path, "a.csv", "id,name\n1,x\n2,y,more\n")
+    write(tmp_path, "b.csv", "name,id\nz,3\n")
+    write(tmp_path, "c.csv", 'extra,name\ne,"two\nlines",late\n')
+    write(tmp_path, "d.csv", "")
+    table = open_delimited(spark, str(tmp_path), DelimitedOptions(delimiter="comma"))
+    assert table.columns[:3] == ("id", "name", "extra")
+    assert sorted(tuple(x or "" for x in r) for r in rows(table)) == sorted([
+        ("1", "x", "", ""), ("2", "y", "", "more"), ("3", "z", "", ""), ("", "two\nlines", "e", "late"),
+    ])
+
+
+def test_long_header_keeps_its_names(spark, tmp_path):
+    names = [f"column {i} {'x' * 1000}" for i in range(5000)]
+    path = write(tmp_path, "wide.csv", ",".join(names) + "\n" + ",".join(map(str, range(5000))) + "\n")
+    table = open_delimited(spark, path)
+    assert len(",".join(names)) > 4 << 20 and table.columns == tuple(names)
 
 
 def test_ragged_blank_and_quoted_records(spark, tmp_path):
