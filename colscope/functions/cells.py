@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.numbers import MAX_SAFE_INTEGER, finite, is_finite, number_text
@@ -172,8 +173,12 @@ def key_value_text(code: str, text: str, num: str) -> str:
 
 @dataclass(frozen=True)
 class StagedCells:
+    """A DataFrame with what its cells need, and the one it was made of."""
+
     df: DataFrame
     cells: list[Cell]
+    source: DataFrame
+    cell_units: int | None = None
 
 
 def stage(df: DataFrame, columns: Sequence[str] | None = None, cell_units: int | None = None) -> StagedCells:
@@ -181,14 +186,14 @@ def stage(df: DataFrame, columns: Sequence[str] | None = None, cell_units: int |
 
     Texts are whole unless ``cell_units`` sets a limit, as previews do.
     """
-    names = list(df.columns if columns is None else columns)
+    names, source = list(df.columns if columns is None else columns), df
     data_types = {field.name: field.dataType for field in df.schema.fields}
     steps: list[dict[str, str]] = [{}, {}, {}, {}]
     cells = [_cell(index, name, data_types[name], steps, cell_units) for index, name in enumerate(names)]
     for step in steps:
         if step:
             df = df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in step.items()])
-    return StagedCells(df, cells)
+    return StagedCells(df, cells, source, cell_units)
 
 
 def _cell(
@@ -287,3 +292,35 @@ def _text_cell(
         index, data_type, raw, kind, text, vtype, (kind, display, digest, num),
         num=num, instant=instant, units=units,
     )
+
+
+#: Columns that one scan takes into the long form; what they read apart from each other is read once anyway.
+LONG_COLUMNS = 64
+
+
+def long_form(staged: StagedCells, cells: Sequence[Cell], classes: Sequence[object] | None = None) -> list[tuple[StagedCells, list]]:
+    """Cells as rows ``column_index`` and one value column for each type, of which a row fills at most one.
+
+    What a type needs is then written once, not once for each column, so generated code is bounded and one scan
+    serves all columns. ``classes`` tells columns of one type apart that are to be treated differently. Several parts
+    come back only for more than ``LONG_COLUMNS`` columns; each with its value columns as cells and their classes.
+    """
+    tags = [None] * len(cells) if classes is None else classes
+    parts = []
+    for start in range(0, len(cells), LONG_COLUMNS):
+        chunk = list(zip(cells, tags, strict=True))[start : start + LONG_COLUMNS]
+        kinds = list(dict.fromkeys((cell.data_type.json(), tag) for cell, tag in chunk))
+        types = {(cell.data_type.json(), tag): cell.data_type for cell, tag in chunk}
+        rows = [
+            F.struct(
+                F.lit(cell.index).alias("column_index"),
+                *(
+                    (F.expr(cell.raw) if kind == (cell.data_type.json(), tag) else F.lit(None).cast(types[kind])).alias(f"v{k}")
+                    for k, kind in enumerate(kinds)
+                ),
+            )
+            for cell, tag in chunk
+        ]
+        long = staged.source.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        parts.append((stage(long, [f"v{k}" for k in range(len(kinds))], staged.cell_units), [tag for _, tag in kinds]))
+    return parts

@@ -33,8 +33,10 @@ from colscope.functions.cells import (
     StagedCells,
     iso_text,
     key_value_text,
+    long_form,
     stage,
 )
+from colscope.functions.text import quoted
 from colscope.operators.quality import quality_warnings
 from colscope.plans.aggregates import (
     TOP_VALUES,
@@ -180,7 +182,7 @@ def profile(
     spark = df.sparkSession
     columns = list(df.columns if columns is None else columns)
     shown = list(names if names is not None else columns)
-    staged = stage(df, columns, cell_units)
+    staged = stage(_spread(df, columns), columns, cell_units)
     states = [_ColumnState(cell, name) for cell, name in zip(staged.cells, shown, strict=True)]
 
     row_count = _basic_pass(staged, states, mode, metrics)
@@ -216,6 +218,17 @@ def profile(
     )
 
 
+#: Bytes for each core below which rows are dealt out anew, as few row groups would leave cores idle.
+SMALL_SHARE = 32 << 20
+
+
+def _spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of a small table, its rows dealt to all cores. Larger tables have splits enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate; nothing is run
+    return df.select(*map(quoted, columns)).repartition(cores) if columns and size < cores * SMALL_SHARE else df
+
+
 # -- one wide aggregate -------------------------------------------------------------------------
 
 
@@ -311,9 +324,45 @@ def _basic_pass(
 
     if not states:
         return staged.df.count()
+    if mode == "exact":
+        return _basic_by_column(staged, states)
     return _aggregate(staged, states, aggregates)
 
 
+#: The basic statistics of a column, over its cells as rows.
+BASIC = {
+    "non_null": "count(vtype)",
+    **{f"n_{value_type}": f"count_if(vtype = '{value_type}')" for value_type in VALUE_TYPES},
+    "num_count": "count(num)", "min_number": "min(num)", "max_number": "max(num)", "mean": "avg(num)",
+    "std_dev": "stddev_pop(num)", "min_instant": "min(instant)", "max_instant": "max(instant)",
+    "min_length": "min(units)", "max_length": "max(units)",
+}
+
+
+def _basic_by_column(staged: StagedCells, states: Sequence[_ColumnState]) -> int:
+    """Basic statistics of all columns in one scan and one aggregate by column; a row for each task and column is shuffled."""
+    for state in states:
+        state.stats = {key: 0 if expression.startswith("count") else None for key, expression in BASIC.items()}
+        state.stats |= {"min_iso": None, "max_iso": None}
+    known = {state.cell.index: state for state in states}
+    row_count = None
+    for part, _ in long_form(staged, [state.cell for state in states]):
+        values = [
+            f"coalesce({', '.join(getattr(cell, what) for cell in part.cells)}) AS {what}"
+            for what in ("vtype", "num", "instant", "units")
+        ]
+        found = part.df.selectExpr("column_index", *values).groupBy("column_index").agg(
+            F.expr("count(1)").alias("rows"), *(F.expr(expression).alias(key) for key, expression in BASIC.items())
+        )
+        instants = [f"{iso_text(f'{end}_instant')} AS {end}_iso" for end in ("min", "max")]
+        shown = [key for key in BASIC if not key.endswith("instant")]
+        for row in found.selectExpr("column_index", "rows", *shown, *instants).collect():  # one for each column
+            stats = row.asDict()
+            row_count = stats.pop("rows")
+            known[stats.pop("column_index")].stats |= stats
+    return row_count or 0
+
+
 def _date_text_pass(staged: StagedCells, dated: Sequence[_ColumnState]) -> None:
     """Ranges of date columns as text. Typed columns are formatted; text columns are looked up."""
     as_text = []
@@ -387,22 +436,20 @@ def frequency_table(
     holds, and a frequent value is folded before the shuffle by partial aggregation. Text columns
     outside ``with_numbers`` (column positions, all by default) skip the parsing of numbers.
     """
-    def number(cell: Cell) -> str:
-        skipped = cell.decided_by_value and with_numbers is not None and cell.index not in with_numbers
-        return NO_NUMBER if skipped else cell.key[3]
-
+    skipped = [
+        cell.decided_by_value and with_numbers is not None and cell.index not in with_numbers for cell in cells
+    ]
     parts = []
-    for group in _groups(cells, lambda cell: cell):
-        keyed = [
-            f"IF({c.present}, struct({c.key[0]} AS code, {c.key[1]} AS text, {c.key[2]} AS digest, "
-            f"{number(c)} AS num), NULL) AS `{c.index}`"
-            for c in group
+    for part, skips in long_form(staged, cells, skipped):
+        keys = [
+            f"WHEN {c.present} THEN struct({c.key[0]} AS code, {c.key[1]} AS text, {c.key[2]} AS digest, "
+            f"{NO_NUMBER if skip else c.key[3]} AS num)"
+            for c, skip in zip(part.cells, skips, strict=True)
         ]
         parts.append(
-            staged.df.selectExpr(*keyed)
-            .unpivot([], [str(c.index) for c in group], "column_index", "key")
+            part.df.selectExpr("column_index", f"CASE {' '.join(keys)} END AS key")
             .where("key IS NOT NULL")
-            .selectExpr("CAST(column_index AS INT) AS column_index", "key.*")
+            .selectExpr("column_index", "key.*")
         )
     return (
         functools.reduce(DataFrame.union, parts)

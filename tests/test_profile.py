@@ -1,3 +1,4 @@
+import time
 import math
 import random
 
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colscope.operators.quality import quality_warnings
 from colscope.plans import profile as plan
-from colscope.plans.profile import profile
+from colscope.functions.cells import long_form, stage
+from colscope.plans.profile import frequency_table, profile
 
 
 def one(result, index=0):
@@ -149,3 +151,33 @@ def test_long_texts_are_told_apart_by_sketches(spark):
     df = spark.range(700).selectExpr("concat(repeat('x', 600), id % 7) AS v")
     top = profile(df, mode="approx", metrics={"top_values"}).profiles.first()["top_values"]
     assert [x["count"] for x in top] == [100] * 5
+
+
+def test_one_scan_for_all_columns(spark, sf):
+    lineitem = spark.read.parquet(f"{sf}/lineitem.parquet")
+    staged = stage(lineitem)
+    plan = frequency_table(staged, staged.cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert len(long_form(staged, staged.cells)) == 1
+
+
+def test_many_text_columns_together(spark):
+    wide = spark.range(100).selectExpr(*[f"concat('t', id % {k + 1}) AS c{k}" for k in range(24)])
+    profile(wide.limit(1))
+    started = time.time()
+    rows = profile(wide).profiles.collect()
+    assert time.time() - started < 5
+    assert [r["distinct"] for r in rows] == list(range(1, 25))
+
+
+def test_more_columns_than_one_scan_takes(spark, monkeypatch):
+    monkeypatch.setattr("colscope.functions.cells.LONG_COLUMNS", 3)
+    df = spark.createDataFrame(
+        [(1, "a", 1.5, True, None, "2024-01-01", "7")] * 3 + [(2, None, None, None, None, "x", "9")],
+        "i long, s string, d double, b boolean, n string, t string, u string",
+    )
+    rows = [(r["type"], r["non_null"], r["distinct"], r["mean"]) for r in profile(df).profiles.collect()]
+    assert rows == [
+        ("number", 4, 2, 1.25), ("text", 3, 1, None), ("number", 3, 1, 1.5), ("boolean", 3, 1, None), ("empty", 0, 0, None),
+        ("mixed", 4, 2, None), ("number", 4, 2, 7.5),
+    ]
