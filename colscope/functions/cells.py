@@ -37,7 +37,6 @@ BLANK_CLASS = "[" + "".join(f"\\x{{{ord(blank):x}}}" for blank in BLANKS) + "]"
 DATE_PATTERN = (
     r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?:T|" + BLANK_CLASS + r")[^\n\r\x{2028}\x{2029}]*)?\z"
 )
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 TYPED_TEXT_STARTS = "+-.0123456789tTfF"
 """First characters a number, boolean or date can have; all other text skips the patterns."""
 
@@ -61,13 +60,28 @@ def is_cell_type(data_type: T.DataType) -> bool:
     ] == [(f.name, f.dataType) for f in CELL_TYPE.fields]
 
 
+def utc_seconds(instant: str) -> str:
+    """``yyyy-MM-dd HH:mm:ss`` of an instant in UTC. A time without zone is counted up, as conversions through the session
+    zone lose the hours that its clock skips."""
+    days, rest = f"floor(unix_millis({instant}) / 86400000)", f"pmod(unix_millis({instant}), 86400000L) DIV 1000"
+    return (
+        f"CAST(TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(CAST({days} AS INT), 0, 0, CAST({rest} AS DECIMAL(18, 6))) "
+        "AS STRING)"
+    )
+
+
 def iso_text(instant: str) -> str:
-    return f"date_format(to_utc_timestamp({instant}, current_timezone()), {literal(ISO_FORMAT)})"
+    millis = f"lpad(CAST(pmod(unix_millis({instant}), 1000L) AS STRING), 3, '0')"
+    return f"concat(replace({utc_seconds(instant)}, ' ', 'T'), '.', {millis}, 'Z')"
 
 
-def utc_instant(value: str) -> str:
+def utc_instant(value: str, data_type: T.DataType) -> str:
     """The instant of a date or of a time without zone, both taken as UTC in any session zone."""
-    return f"from_utc_timestamp(CAST({value} AS TIMESTAMP), current_timezone())"
+    days = f"datediff(CAST({value} AS DATE), DATE'1970-01-01') * 86400L"
+    if isinstance(data_type, T.DateType):
+        return f"timestamp_seconds({days})"
+    micros = f"CAST(extract(SECOND FROM {value}) * 1000000 AS BIGINT)"
+    return f"timestamp_micros(({days} + hour({value}) * 3600L + minute({value}) * 60L) * 1000000L + {micros})"
 
 
 def to_millis(instant: str) -> str:
@@ -118,7 +132,7 @@ def json_text(value: str, data_type: T.DataType, depth: int = 0) -> str:
         wide = f"CAST({value} AS DOUBLE)"
         body = f"IF({is_finite(wide)}, {number_text(wide)}, NULL)"
     elif isinstance(data_type, TIME_TYPES):
-        instant = f"CAST({value} AS TIMESTAMP)" if isinstance(data_type, T.TimestampType) else utc_instant(value)
+        instant = f"CAST({value} AS TIMESTAMP)" if isinstance(data_type, T.TimestampType) else utc_instant(value, data_type)
         body = f"concat('\"', {iso_text(instant)}, '\"')"
     elif isinstance(
         data_type, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.DecimalType)
@@ -236,7 +250,7 @@ def _cell(
             (kind, odd, NO_TEXT, finite(num)), num=finite(num), units=f"length({odd})",
         )
     if isinstance(data_type, TIME_TYPES):
-        instant = raw if isinstance(data_type, T.TimestampType) else utc_instant(raw)
+        instant = raw if isinstance(data_type, T.TimestampType) else utc_instant(raw, data_type)
         key = ("'t'", NO_TEXT, NO_TEXT, f"CAST(unix_millis({instant}) AS DOUBLE)")
         return typed("s", "date", iso_text(instant), key, instant=to_millis(instant))
     if isinstance(data_type, T.BinaryType):
@@ -283,7 +297,8 @@ def _text_cell(
     steps[2][vtype] = value_type
     steps[3][num] = f"IF({vtype} = 'number', {parsed}, NULL)"
     read = f"TRY_CAST({trimmed} AS TIMESTAMP)"
-    at = to_millis(f"IF(length({trimmed}) = 10, {utc_instant(read)}, {read})")
+    day = utc_instant(f"TRY_CAST({trimmed} AS DATE)", T.DateType())
+    at = to_millis(f"IF(length({trimmed}) = 10, {day}, {read})")
     steps[3][instant] = f"IF({vtype} = 'date', {at}, NULL)"
     steps[3][units] = f"IF({vtype} = 'text', {utf16_units(text)}, NULL)"
     steps[3][display] = display_value(text)

@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from colscope.functions.cells import TIME_TYPES, Cell, stage
+from colscope.functions.cells import TIME_TYPES, Cell, stage, utc_seconds
 from colscope.functions.numbers import number_text
-from colscope.functions.text import literal, quoted
+from colscope.functions.text import literal, quoted, trim_blanks
 from colscope.sources.table import Table
 
 # Display formats.
 DATE_FORMAT = "MMM dd, yyyy"
-DATE_TIME_FORMAT = "MMM dd, yyyy, HH:mm:ss 'UTC'"
 
 
 def grouped_number(text: str) -> str:
@@ -35,15 +34,16 @@ def display_text(cell: Cell, column_type: str) -> str:
         value = text if cell.only_type == "number" else number_text(cell.num)
         shown = f"IF({cell.num} IS NULL, {text}, {grouped_number(value)})"
     elif column_type == "boolean":
-        low = f"lower(trim({text}))"
+        low = f"lower({trim_blanks(text)})"
         shown = f"CASE {low} WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE {text} END"
     elif column_type == "date":
+        utc = utc_seconds(cell.instant)
+        day = f"date_format(CAST(substring_index({utc}, ' ', 1) AS DATE), {literal(DATE_FORMAT)})"
         timed = "TRUE" if isinstance(cell.data_type, TIME_TYPES) else (
             f"{text} RLIKE 'T|[0-9]{{1,2}}:[0-9]{{2}}'"
         )
         shown = (
-            f"coalesce(IF({timed}, date_format({cell.instant}, {literal(DATE_TIME_FORMAT)}), "
-            f"date_format({cell.instant}, {literal(DATE_FORMAT)})), {text})"
+            f"coalesce(concat({day}, IF({timed}, concat(', ', substring({utc}, -8), ' UTC'), '')), {text})"
         )
     else:
         shown = text
