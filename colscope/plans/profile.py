@@ -168,13 +168,20 @@ def profile(
     scope: str = "full",
     metrics: Collection[str] = METRICS,
     cell_units: int | None = None,
+    estimate: Collection[str] = (),
 ) -> ProfileResult:
     """Profile the given columns of ``df`` (all by default) over every row and every whole text.
 
     ``names`` are the shown names when they differ from the DataFrame's. ``metrics`` limits the
     work beyond the basic statistics. ``cell_units`` shortens long texts, for previews only.
+
+    ``exact`` counts every distinct value, but for the columns that ``estimate`` names (as shown): their counts come from
+    sketches and are flagged. The choice is the caller's, so flags do not depend on the size of the data. ``approx``
+    estimates all columns, ``auto`` those that seem to hold more distinct values than ``exact_value_limit``.
     """
     metrics = frozenset(metrics)
+    if estimate and mode != "exact":
+        raise ValueError("estimate names columns of an exact profile")
     if mode not in ("exact", "approx", "auto"):
         raise ValueError(f"Unknown profile mode: {mode}")
     if not metrics <= METRICS:
@@ -193,15 +200,18 @@ def profile(
     if mode == "approx":
         by_frequency, by_sketch = [], states
     elif mode == "auto":
-        limit = 2 * exact_value_limit(len(states))
+        limit = exact_value_limit(len(states))
         by_sketch = [s for s in states if (s.stats["distinct_estimate"] or 0) > limit]
         by_frequency = [s for s in states if s not in by_sketch]
+    elif estimate:
+        by_sketch = [s for s in states if s.name in set(estimate)]
+        by_frequency = [s for s in states if s.name not in set(estimate)]
     empty = [s for s in by_frequency if s.type == "empty"]
     for state in empty:
         state.distinct, state.top_values = 0, []
     counted = [s for s in by_frequency if s.type != "empty"]
     passes = [lambda: _frequency_pass(spark, staged, counted, metrics)]
-    if mode == "auto" and by_sketch:
+    if mode != "approx" and by_sketch:
         passes.append(lambda: _sketch_pass(staged, by_sketch, metrics))
     _run_together(spark, [lambda _, run=run: run() for run in passes])
     _finish_sketches(by_sketch, metrics)
@@ -379,7 +389,13 @@ def _date_text_pass(staged: StagedCells, dated: Sequence[_ColumnState]) -> None:
 def _sketch_pass(
     staged: StagedCells, states: Sequence[_ColumnState], metrics: Collection[str]
 ) -> None:
-    _aggregate(staged, states, lambda state: _sketch_aggregates(state, metrics))
+    def aggregates(state: _ColumnState) -> dict[str, str]:
+        found = _sketch_aggregates(state, metrics)
+        if "distinct" in metrics and "distinct_estimate" not in state.stats:
+            found["distinct_estimate"] = distinct_estimate(state.cell)
+        return found
+
+    _aggregate(staged, states, aggregates)
 
 
 def _finish_sketches(states: Sequence[_ColumnState], metrics: Collection[str]) -> None:

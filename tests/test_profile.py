@@ -181,3 +181,15 @@ def test_more_columns_than_one_scan_takes(spark, monkeypatch):
         ("number", 4, 2, 1.25), ("text", 3, 1, None), ("number", 3, 1, 1.5), ("boolean", 3, 1, None), ("empty", 0, 0, None),
         ("mixed", 4, 2, None), ("number", 4, 2, 7.5),
     ]
+
+
+def test_columns_to_estimate_are_chosen(spark):
+    df = spark.range(3000).selectExpr("id", "id % 7 AS few", "concat('t', id) AS text", "id * 0.5D AS half")
+    found = {r["name"]: r for r in profile(df, estimate=("id", "text")).profiles.collect()}
+    assert found["few"]["approximate_metrics"] is None and found["half"]["approximate_metrics"] is None and found["half"]["distinct"] == 3000
+    assert "distinct" in found["id"]["approximate_metrics"] and "topValues" in found["text"]["approximate_metrics"]
+    assert abs(found["text"]["distinct"] - 3000) < 300
+    small = {r["name"]: r["approximate_metrics"] for r in profile(df.limit(10), estimate=("id", "text")).profiles.collect()}
+    assert small == {name: r["approximate_metrics"] for name, r in found.items()}
+    with pytest.raises(ValueError, match="exact profile"):
+        profile(df, mode="approx", estimate=("id",))
