@@ -9,7 +9,8 @@ The merge also meets every pair of tokens that overlap: its links.
 The tokenizers are A, byte-level BPE from a ``tokenizers`` file, run by tiktoken with the ids of that file as
 ranks, and B, a ``sentencepiece`` model, which puts a space before the text itself. Long texts are cut before a
 space between two other characters, about every ``STRETCH`` characters; no token of either side reaches over
-such a place, so it is a common end too, and parts are aligned one by one.
+such a place, so it is a common end too, and parts are aligned one by one. For the same reason the unit between two such
+places is encoded once and memoised; alignment always runs over whole parts.
 
 A pair of ids counts once for each document that holds it linked. The pairs of a document, each once, meet the
 counts by an ordinary join on the pair, so nothing that grows with the corpus is broadcast by this code.
@@ -22,12 +23,12 @@ returned as they come; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, Window
@@ -37,7 +38,9 @@ from colscope.llm.common import pieces, save
 
 #: Characters after which a long text is cut at the next place that is safe.
 STRETCH = 1 << 18
-SAFE = regex.compile(r"(?<=\S) (?=\S)")
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Memoised units, about; the memo starts anew when it is full. Units that are encoded in one string.
+MEMO, TOGETHER = 400_000, 1000
 #: A pair is the id of A times this plus the id of B.
 B_IDS = 1 << 15
 
@@ -54,7 +57,7 @@ def diagonal_groups(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]
     n_a = len(a)
     while i < n_a:
         if a[i] == b[j]:
-            n, step = 1, 2
+            n, step = 1, 8
             while (here := a[i + n : i + n + step]) and here == b[j + n : j + n + step]:
                 n += len(here)
                 step *= 2
@@ -121,8 +124,9 @@ class Pair:
             self.bytes_a[i] = token
         self.b = sentencepiece.SentencePieceProcessor(model_proto=file_b)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        if len(self.bytes_b) > B_IDS:
-            raise ValueError(f"B has more than {B_IDS} pieces")
+        if len(self.bytes_b) > B_IDS or any(b" " in piece.lstrip(b" ") for piece in self.bytes_b):
+            raise ValueError(f"B has more than {B_IDS} pieces, or one that reaches over the start of a word")
+        self.units = Units(self)
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
         # Decimal ids and the mark behind them, filled up with zero bytes: two rows for each id, of A and then of B;
         # the second of the two ends its side of a group.
@@ -144,10 +148,16 @@ class Pair:
 
     def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, bytes, np.ndarray, np.ndarray]]:
         """For each text: tokens of A and of B, groups, the groups as text, the linked pairs, the links of each."""
-        cut = [stretches(" " + text) if text else [] for text in texts]
-        encoded = iter(self.b.encode([part[1:] for parts in cut for part in parts], num_threads=1))
+        here: dict[str, int] = {}  # the units of these texts, numbered as they come
+        cut = [
+            [[here.setdefault(unit, len(here)) for unit in SAFE.split(part[1:])] for part in stretches(" " + text)] if text else []
+            for text in texts
+        ]
+        if len(self.units.number) > MEMO:
+            self.units = Units(self)
+        numbers = self.units.add(here)
         for parts in cut:
-            found = [self._part(part, ids) for part, ids in [(part, next(encoded)) for part in parts]]
+            found = [self._part(numbers[units]) for units in parts]
             if not found or None in found:
                 yield 0, 0, 0, b"", np.empty(0, np.int32), np.empty(0, np.int32)
                 continue
@@ -155,15 +165,12 @@ class Pair:
             pairs, times = np.unique(np.concatenate(codes), return_counts=True)
             yield *map(sum, counts), b"".join(listed)[:-1], pairs.astype(np.int32), times.astype(np.int32)
 
-    def _part(self, part: str, ids_b: list[int]) -> tuple | None:
+    def _part(self, units: np.ndarray) -> tuple | None:
         """As ``aligned`` for a part of a text, with a code for each link; none if B is not the text again."""
-        content = part.encode()
-        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != content:
+        a, b = self.units.ids(units)
+        if b.min() < 0:
             return None
-        a, b = np.array(self.a.encode_ordinary(part)), np.array(ids_b)
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        if ends_a[-1] != len(content):
-            return None
         groups, links = diagonal_groups(ends_a.tolist(), ends_b.tolist())
         to_a, to_b, straight = ends_of_groups(groups)
         in_a, in_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
@@ -177,6 +184,70 @@ class Pair:
         return len(a), len(b), len(to_a), listed[listed != 0].tobytes(), a[at_a] * B_IDS + b[at_b]
 
 
+class Units:
+    """The ids of both sides for units of text, each unit once. A unit of -1 of B is not made by its tokens."""
+
+    def __init__(self, pair: Pair) -> None:
+        self.pair = pair
+        self.number: dict[str, int] = {}
+        self.flat = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.held: tuple[list, list] = ([], [])
+        self.held_ends: tuple[list, list] = ([], [])
+        self.last = [0, 0]
+
+    def ids(self, numbers: np.ndarray) -> Iterator[np.ndarray]:
+        """Those of A and those of B for units in a row."""
+        for flat, ends in zip(self.flat, self.ends):
+            start, size = ends[numbers], ends[numbers + 1] - ends[numbers]
+            before = np.cumsum(size) - size
+            yield flat[np.repeat(start - before, size) + np.arange(before[-1] + size[-1])]
+
+    def add(self, units: dict[str, int]) -> np.ndarray:
+        """The numbers of the units."""
+        fresh = [unit for unit in units if unit not in self.number]
+        # Only the first and the last unit of a text can begin or end with a blank.
+        plain = [unit for unit in fresh if not (unit[0].isspace() or unit[-1].isspace())]
+        odd = [unit for unit in fresh if unit[0].isspace() or unit[-1].isspace()]
+        together = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)] + [[unit] for unit in odd]
+        while together:
+            encoded = self.pair.b.encode([" ".join(some) for some in together], num_threads=1)
+            apart: list[list[str]] = []
+            for some, ids_b in zip(together, encoded):
+                text = " " + " ".join(some)
+                if b"".join(map(self.pair.bytes_b.__getitem__, ids_b)) == text.encode():
+                    self._keep(some, self.pair.a.encode_ordinary(text), ids_b)
+                elif len(some) == 1:
+                    self._append(0, self.pair.a.encode_ordinary(text), [])
+                    self._append(1, [-1], [])
+                    self.number[some[0]] = len(self.number)
+                else:
+                    apart += [[unit] for unit in some]
+            together = apart
+        self._settle()
+        return np.array(list(map(self.number.__getitem__, units)), np.int64)
+
+    def _keep(self, units: list[str], *ids: list[int]) -> None:
+        ends = np.cumsum([1 + len(unit.encode()) for unit in units])
+        for side, found in enumerate(ids):
+            last = np.searchsorted(np.cumsum(self.pair.sizes[side][found]), ends)
+            self._append(side, found, (last[:-1] + 1).tolist())
+        start = len(self.number)
+        self.number.update(zip(units, range(start, start + len(units))))
+
+    def _append(self, side: int, ids: list[int], cuts: list[int]) -> None:
+        """Hold the ids of further units until ``_settle``; ``cuts`` are the ends of all units but the last."""
+        self.held[side].append(np.array(ids, np.int64))
+        self.held_ends[side].append(self.last[side] + np.array([*cuts, len(ids)], np.int64))
+        self.last[side] += len(ids)
+
+    def _settle(self) -> None:
+        for side in (0, 1):
+            self.flat[side] = np.concatenate([self.flat[side], *self.held[side]])
+            self.ends[side] = np.concatenate([self.ends[side], *self.held_ends[side]])
+        self.held, self.held_ends = ([], []), ([], [])
+
+
 def stretches(text: str) -> list[str]:
     """The text in parts that both tokenizers treat as they treat the whole; each begins with a space."""
     parts, at = [], 0
@@ -236,7 +307,7 @@ def alignments(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
     aligned = save(aligned, "aligned")
     counts = pair_counts(aligned)
     links = aligned.select("row", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n"))))
-    links = links.toDF("row", "pair", "n").join(counts, "pair")
+    links = links.toDF("row", "pair", "n").join(counts.hint("shuffle_hash"), "pair")  # counts are the small side: no sort
     sums = links.groupBy("row").agg(
         F.sum("n").alias("n_links"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"),
         F.sum(F.col("n") * F.col("n_docs")).alias("count_sum"),
