@@ -59,7 +59,7 @@ CONCURRENT_JOBS = 4
 MEDIAN_BUCKETS = 4096
 MEDIAN_GATHER_VALUES = 500_000
 RANK_ACCURACY = 10_000
-MEDIAN_CUTS = 100
+MEDIAN_CUTS = 128  # a power of two
 QUANTILE_STEPS = 400
 
 METRICS = frozenset({"distinct", "top_values", "median", "histogram"})
@@ -679,14 +679,6 @@ class _Bracket:
         count = self.state.stats["num_count"]
         return (count - 1) // 2 - self.rows_before, count // 2 - self.rows_before
 
-    @property
-    def inside(self) -> str:
-        """Predicate over the frequency rows."""
-        return (
-            f"(column_index = {self.state.cell.index} "
-            f"AND num BETWEEN {_double(self.low)} AND {_double(self.high)})"
-        )
-
 
 def _resolve_medians(
     frequencies: DataFrame, states: Sequence[_ColumnState], found: dict[int, list]
@@ -706,63 +698,82 @@ def _resolve_medians(
             open_brackets.append(bracket)
     while wide := [b for b in open_brackets if b.n_values > MEDIAN_GATHER_VALUES]:
         _narrow(frequencies, wide)
-        for bracket in [b for b in wide if b.low == b.high]:
-            bracket.state.median = bracket.low
-            open_brackets.remove(bracket)
+        open_brackets = [b for b in open_brackets if b.state.median is None]
     if open_brackets:
         _gather(frequencies, open_brackets)
 
 
+def _inside(frequencies: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
+    """The frequency rows inside the brackets, with the middle ranks and the number of the bracket.
+
+    The brackets are a table of one row per column, so the plan does not grow with the columns.
+    """
+    targets = frequencies.sparkSession.createDataFrame(
+        [(b.state.cell.index, b.low, b.high, *b.ranks) for b in brackets],
+        "column_index int, bracket_low double, bracket_high double, rank_low bigint, rank_high bigint",
+    )
+    return frequencies.join(F.broadcast(targets), "column_index").where(
+        "num BETWEEN bracket_low AND bracket_high"
+    )
+
+
 def _narrow(frequencies: DataFrame, brackets: Sequence[_Bracket]) -> None:
     """Split brackets at values spread evenly over their distinct values, keep the middle part.
 
     The cuts come from a rank sketch with a guaranteed error, so each round leaves about
     1/``MEDIAN_CUTS`` of the distinct values. Exact row counts between the cuts decide which part
-    holds the middle ranks; the result does not depend on the sketch.
+    holds the middle ranks; the result does not depend on the sketch. Two jobs serve all columns.
     """
+    spark = frequencies.sparkSession
+    inside = _inside(frequencies, brackets)
     shares = ", ".join(f"{step / MEDIAN_CUTS!r}D" for step in range(1, MEDIAN_CUTS))
-    cuts = frequencies.selectExpr(
-        *(
-            f"percentile_approx(IF({b.inside}, num, NULL), array({shares}), {RANK_ACCURACY}) AS c{i}"
-            for i, b in enumerate(brackets)
+    cuts = inside.groupBy("column_index").agg(
+        F.expr(f"percentile_approx(num, array({shares}), {RANK_ACCURACY})").alias("cuts")
+    )
+    known = spark.createDataFrame(
+        [(r["column_index"], r["cuts"]) for r in cuts.collect()], "column_index int, cuts array<double>"
+    )
+    # The part is the number of cuts at or below a value, found by halving.
+    parted = inside.join(F.broadcast(known), "column_index").selectExpr(
+        "column_index", "num", "cnt", "rank_low", "rank_high", "cuts", "0 AS part"
+    )
+    step = MEDIAN_CUTS // 2
+    while step:
+        parted = parted.withColumn(
+            "part", F.expr(f"part + IF(num >= element_at(cuts, part + {step}), {step}, 0)")
         )
-    ).collect()[0]
-    for i, bracket in enumerate(brackets):
-        edges = sorted(set(cuts[f"c{i}"]))
-        part = "".join(f"+ IF(num >= {_double(edge)}, 1, 0) " for edge in edges)
-        order = Window.orderBy("part")
-        before = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        first, last = bracket.ranks
-        kept = (
-            frequencies.where(bracket.inside)
-            .groupBy(F.expr(f"0 {part}").alias("part"))
-            .agg(
-                F.expr("sum(cnt)").alias("rows"), F.expr("count(1)").alias("n_values"),
-                F.expr("min(num)").alias("low"), F.expr("max(num)").alias("high"),
-            )
-            .withColumn("before", F.coalesce(before, F.lit(0)))
-            .where(f"before <= {last} AND before + rows > {first}")
-            .orderBy("part")
-            .collect()
+        step //= 2
+    order = Window.partitionBy("column_index").orderBy("part")
+    before = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    middle = (
+        parted.groupBy("column_index", "rank_low", "rank_high", "part")
+        .agg(
+            F.expr("sum(cnt)").alias("rows"), F.expr("count(1)").alias("n_values"),
+            F.expr("min(num)").alias("low"), F.expr("max(num)").alias("high"),
         )
+        .withColumn("before", F.coalesce(before, F.lit(0)))
+        .where("before <= rank_high AND before + rows > rank_low")
+    )
+    found: dict[int, list] = {}
+    for row in middle.collect():
+        found.setdefault(row["column_index"], []).append(row)
+    for bracket in brackets:
+        kept = sorted(found[bracket.state.cell.index], key=lambda r: r["part"])
         bracket.low, bracket.high = kept[0]["low"], kept[-1]["high"]
         bracket.rows_before += kept[0]["before"]
         bracket.rows = sum(r["rows"] for r in kept)
         bracket.n_values = sum(r["n_values"] for r in kept)
+        if all(r["low"] == r["high"] for r in kept):
+            bracket.state.median = (bracket.low + bracket.high) / 2
 
 
 def _gather(frequencies: DataFrame, brackets: Sequence[_Bracket]) -> None:
     """Read the middle values from the few distinct values left inside the brackets."""
-    targets = frequencies.sparkSession.createDataFrame(
-        [(b.state.cell.index, *b.ranks) for b in brackets],
-        "column_index int, rank_low bigint, rank_high bigint",
-    )
     order = Window.partitionBy("column_index").orderBy("num")
     through = F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0))
     middle = (
-        frequencies.where(" OR ".join(b.inside for b in brackets))
-        .select("column_index", "num", "cnt", through.alias("through"))
-        .join(F.broadcast(targets), "column_index")
+        _inside(frequencies, brackets)
+        .select("column_index", "num", "cnt", "rank_low", "rank_high", through.alias("through"))
         .where("through > rank_low AND through - cnt <= rank_high")
         .groupBy("column_index")
         .agg(F.expr("(min(num) + max(num)) / 2").alias("median"))

@@ -107,6 +107,35 @@ def test_exact_median_against_brute_force(spark, monkeypatch, gather):
         assert median == pytest.approx((ordered[1500] + ordered[1501]) / 2 if len(ordered) % 2 == 0 else ordered[1501])
 
 
+def test_median_rounds_serve_all_columns(spark, monkeypatch):
+    """The jobs of the narrowing do not grow with the columns."""
+    monkeypatch.setattr(plan, "MEDIAN_GATHER_VALUES", 20)
+    monkeypatch.setattr(plan, "MEDIAN_BUCKETS", 16)
+    df = spark.range(4001).selectExpr(*(f"exp(rand({i}) * 40) AS c{i}" for i in range(8)))
+    df = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
+    df.count()
+
+    def jobs(columns):
+        group = f"median-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        medians = [p.median for p in profile(df.select(columns), metrics={"median"}).profiles.collect()]
+        spark.sparkContext.setJobGroup("", "")
+        assert medians == [sorted(r[0] for r in df.select(c).collect())[2000] for c in columns]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(df.columns[:2]), jobs(df.columns)
+    assert many <= few + 8, (few, many)
+
+
+def test_middle_ranks_on_values_of_many_spellings(spark, monkeypatch):
+    """Two numbers in the middle, each with more spellings than a bracket may hold."""
+    monkeypatch.setattr(plan, "MEDIAN_GATHER_VALUES", 5)
+    monkeypatch.setattr(plan, "MEDIAN_BUCKETS", 2)
+    rows = [(f"{n}.{'0' * k}",) for n in (1, 2) for k in range(1, 41)]
+    p = one(profile(spark.createDataFrame(rows, "t string"), metrics={"median"}))
+    assert p.median == 1.5
+
+
 def test_random_data_properties(spark):
     rng = random.Random(3)
     rows = [(rng.choice([None, rng.gauss(0, 1), float(rng.randrange(5))]), rng.choice([None, "", "a", "7"])) for _ in range(999)]
