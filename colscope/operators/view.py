@@ -12,9 +12,10 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,6 +229,9 @@ class ViewSpec:
         return "; ".join(parts)
 
 
+MAX_FLOAT = "CAST('3.4028235E38' AS FLOAT)"
+
+
 # -- predicates ---------------------------------------------------------------------------------
 
 
@@ -282,6 +286,17 @@ def _ordered_predicate(condition: Filter, cell: Cell, column_type: str) -> str:
         first, last = min(first, last), max(first, last)
 
     column, at_least, above = _scale(cell, column_type)
+    if isinstance(cell.data_type, T.DecimalType) and above(first) is None:
+        outer = _outer_interval(condition.operator, cell, first, first if last is None else last)
+    elif isinstance(cell.data_type, T.FloatType) and column_type == "number":
+        outer = f"{column} BETWEEN -{MAX_FLOAT} AND {MAX_FLOAT}"
+    else:
+        outer = ""
+    inner = _interval(condition.operator, column, at_least, above, first, last)
+    return f"({outer} AND ({inner}))" if outer else inner
+
+
+def _interval(operator: str, column: str, at_least, above, first, last) -> str:
     start, end = f"{column} >= {at_least(first)}", f"{column} < {above(first)}"
     if above(first) is None:  # a continuous scale: compare with the value itself
         value = at_least(first)
@@ -294,7 +309,7 @@ def _ordered_predicate(condition: Filter, cell: Cell, column_type: str) -> str:
             "lessThan": f"({column} < {value} AND {bounded[1]})",
             "lessThanOrEqual": f"({column} <= {value} AND {bounded[1]})",
             "between": f"({column} >= {value} AND {column} <= {at_least(last or first)})",
-        }.get(condition.operator, "FALSE")
+        }.get(operator, "FALSE")
     return {
         "equals": f"({start} AND {end})",
         "notEquals": f"({column} < {at_least(first)} OR {column} >= {above(first)})",
@@ -303,7 +318,39 @@ def _ordered_predicate(condition: Filter, cell: Cell, column_type: str) -> str:
         "lessThan": f"{column} < {at_least(first)}",
         "lessThanOrEqual": end,
         "between": f"({start} AND {column} < {above(first if last is None else last)})",
-    }.get(condition.operator, "FALSE")
+    }.get(operator, "FALSE")
+
+
+def _outer_interval(operator: str, cell: Cell, first: float, last: float) -> str:
+    """Bounds of a wide decimal that hold wherever its nearest double passes the comparison.
+
+    A decimal that rounds to a double lies between that double's neighbours; sources can use them.
+    """
+    kind = cell.data_type
+    with localcontext() as context:
+        context.prec = 400
+        step = Decimal(1).scaleb(-kind.scale)
+        most = Decimal(10) ** (kind.precision - kind.scale) - step
+
+        def bound(value: float, rounding: str) -> str:
+            exact = max(-most, min(most, Decimal(value))).quantize(step, rounding)
+            return f"CAST('{exact:f}' AS DECIMAL({kind.precision}, {kind.scale}))"
+
+        start = f"{cell.raw} >= {bound(math.nextafter(first, -math.inf), ROUND_FLOOR)}"
+        end = f"{cell.raw} <= {bound(math.nextafter(last, math.inf), ROUND_CEILING)}"
+    return {
+        "equals": f"{start} AND {end}", "between": f"{start} AND {end}",
+        "greaterThan": start, "greaterThanOrEqual": start, "lessThan": end, "lessThanOrEqual": end,
+    }.get(operator, "")
+
+
+def _single(value: float, strict: bool) -> str:
+    """The first single-precision number at or above a value, or above it."""
+    with np.errstate(over="ignore"):
+        found = np.float32(value)
+    if float(found) < value or (strict and float(found) == value):
+        found = np.nextafter(found, np.float32(np.inf))
+    return f"CAST('{'Infinity' if np.isposinf(found) else '-Infinity' if np.isneginf(found) else str(found)}' AS FLOAT)"
 
 
 def _scale(cell: Cell, column_type: str):
@@ -325,6 +372,8 @@ def _scale(cell: Cell, column_type: str):
         return cell.raw, lambda v: whole(math.ceil(v)), lambda v: whole(math.floor(v) + 1)
     if column_type == "number" and isinstance(kind, T.DoubleType):
         return cell.raw, lambda v: f"{v!r}D", lambda v: None
+    if column_type == "number" and isinstance(kind, T.FloatType):
+        return cell.raw, lambda v: _single(v, False), lambda v: _single(v, True)
     if column_type == "number" and isinstance(kind, T.DecimalType) and kind.precision <= 15:
         # A double holds all values of the column, so the nearest ones of its scale decide alike.
         step, most = Decimal(1).scaleb(-kind.scale), Decimal(10) ** (kind.precision - kind.scale)

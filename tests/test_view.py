@@ -1,9 +1,14 @@
+import math
+import operator
+import re
+
 import pytest
 
+from colscope.functions.cells import stage
 from colscope.operators.display import render_columns, tsv_rows, value_text
 from colscope.operators.metadata import column_listing, match_columns, search_columns
 from colscope.operators.view import (
-    Filter, Sort, ViewSpec, apply_view, number_rows, operators_for_type, parse_date, parse_number,
+    Filter, Sort, ViewSpec, apply_view, filter_predicate, number_rows, operators_for_type, parse_date, parse_number,
 )
 from colscope.sources.table import Table
 
@@ -164,3 +169,38 @@ def test_column_search(spark):
     found = search_columns(listing, "date", 3).orderBy("position").collect()
     assert [(r["table"], r["ordinal"], r["total"]) for r in found] == [("t", 3, 5), ("t", 1, 5), ("u", 0, 5)]
     assert search_columns(listing, " ").count() == 0
+
+
+SINGLES = [0.1, -0.1, 0.0, 1.5, 16777216.0, 3.4028235e38, -3.4028235e38, 1e-45, None, float("nan"), float("inf"), float("-inf")]
+WIDE = ["0.10", "0.11", "-0.10", "123456789012345678.90", "123456789012345678.91", "-999999999999999999.99", "0.00", None]
+BOUNDS = ["0.1", "0", "-0.1", "1.5", "16777217", "1e39", "-1e39", "123456789012345678.9", "1e18", "1e308", "-1e308"]
+
+
+@pytest.mark.parametrize("kind, values", [("float", SINGLES), ("decimal(20,2)", WIDE)])
+def test_pushed_bounds_of_floats_and_wide_decimals(spark, tmp_path, kind, values):
+    """Filters keep what the comparison of doubles keeps, and their bounds reach the scan."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(None if v is None else str(v),) for v in values], "s string").selectExpr(
+        "CAST(s AS DOUBLE) AS d" if kind == "float" else "s AS d"
+    ).selectExpr(f"CAST(d AS {kind}) AS n").coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    cell = stage(table).cells[0]
+    doubles = [r["d"] for r in table.selectExpr("CAST(n AS DOUBLE) AS d").collect()]
+    finite = [d for d in doubles if d is not None and math.isfinite(d)]
+    compare = {
+        "equals": operator.eq, "notEquals": operator.ne, "greaterThan": operator.gt,
+        "greaterThanOrEqual": operator.ge, "lessThan": operator.lt, "lessThanOrEqual": operator.le,
+    }
+    staged = stage(table)
+    for bound in BOUNDS:
+        for name, test in compare.items():
+            kept = staged.df.where(filter_predicate(Filter(0, name, bound), cell, "number"))
+            found = [r["d"] for r in kept.selectExpr("CAST(n AS DOUBLE) AS d").collect()]
+            assert sorted(found) == sorted(d for d in finite if test(d, float(bound))), (bound, name)
+    between = filter_predicate(Filter(0, "between", "0.05", "1.6"), cell, "number")
+    kept = staged.df.where(between)
+    assert kept.count() == sum(0.05 <= d <= 1.6 for d in finite)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", kept._jdf.queryExecution().toString())[1]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(n" in pushed and "LessThan" in pushed
