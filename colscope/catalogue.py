@@ -32,6 +32,8 @@ from colscope.sources.parquet import footer_audit
 from colscope.sources.table import Table
 from colscope.sources.workbook import archive_audit, list_sheets, workbook_rows
 from colscope.streaming.profiles import (
+    log_frequencies,
+    logged_frequencies,
     on_warnings,
     stream_frequencies,
     stream_profile,
@@ -1133,6 +1135,64 @@ def stream_profile_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _bins_sql(table: str, column: str) -> str:
+    """Edges of the 12 bins of a column and the share of rows below the end of each."""
+    return (
+        f"WITH s AS (SELECT min({column}) AS low, max({column}) AS high, count({column}) AS n FROM {table}), "
+        "e AS (SELECT low, high, n, CAST(i AS BIGINT) AS position, low + (high - low) / 12 * i AS edge FROM s, range(1, 13) AS r(i)) "
+        f"SELECT position, round(edge, 6) AS edge, n AS total, true AS close FROM e"
+    )
+
+
+@register("stream_histogram_events", _bins_sql("events", "value"))
+def stream_histogram_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins of the running profile; ``close`` where the rows up to an edge are within 2 % of all rows."""
+    running = _last_snapshot(stream_profile(_event_stream(spark, folder, "value")))
+    bins = running.selectExpr(
+        "non_null", "aggregate(histogram, 0L, (a, b) -> a + b.count) AS total", "posexplode(histogram) AS (i, bin)", "histogram",
+    ).selectExpr(
+        "CAST(i + 1 AS BIGINT) AS position", "bin.end AS edge", "total",
+        "aggregate(slice(histogram, 1, i + 1), 0L, (a, b) -> a + b.count) AS below",
+    )
+    events = load(spark, folder, "events", "value")
+    counted = events.join(F.broadcast(bins.select("position", "edge")), F.col("value") < F.col("edge"))
+    exact = counted.groupBy("position").agg(F.count("*").alias("exact"))
+    return bins.join(exact, "position", "left").selectExpr(
+        "position", "round(edge, 6) AS edge", "total",
+        "abs(below - IF(position = 12, total, coalesce(exact, 0))) <= 0.02 * total AS close",
+    )
+
+
+SPELLED_TS = (
+    "CASE WHEN user_id % 2 = 0 THEN date_format(ts, 'yyyy-MM-dd') "
+    "ELSE concat(date_format(ts, 'yyyy-MM-dd'), 'T', date_format(ts, 'HH:mm:ss'), 'Z') END AS spelled"
+)
+
+
+@register(
+    "stream_dates_text",
+    "WITH t AS (SELECT CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS spelled, "
+    "CASE WHEN user_id % 2 = 0 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS moment FROM events) "
+    "SELECT 'spelled' AS name, 'date' AS type, CAST(count(*) AS BIGINT) AS non_null, "
+    "(SELECT spelled FROM t ORDER BY moment, spelled LIMIT 1) AS min_text, "
+    "(SELECT spelled FROM t ORDER BY moment DESC, spelled DESC LIMIT 1) AS max_text FROM t",
+)
+def stream_dates_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = _last_snapshot(stream_profile(_event_stream(spark, folder, SPELLED_TS)))
+    return found.select("name", "type", "non_null", "min_text", "max_text")
+
+
+@register("stream_logged_top_events", _top_sql("events", ["event_type", "user_id"]))
+def stream_logged_top_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Top values from the log of changed counts."""
+    log = scratch_folder(spark)
+    log_frequencies(_event_stream(spark, folder, "event_type", "user_id"), log, f"{log}-state").awaitTermination()
+    return top_of_frequencies(logged_frequencies(spark, log)).selectExpr(
+        "element_at(array('event_type', 'user_id'), column_index + 1) AS name",
+        "CAST(position AS BIGINT) AS position", "value", "cnt AS frequency",
+    )
+
+
 @register("stream_top_events", _top_sql("events", ["event_type", "user_id"]))
 def stream_top_events(spark: SparkSession, folder: str) -> DataFrame:
     stream = _event_stream(spark, folder, "event_type", "user_id")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from colscope.plans.profile import profile
 from colscope.plans.progress import count_rows
 from colscope.streaming.profiles import (
-    RowCounter, on_warnings, rows_processed, stream_frequencies, stream_profile, top_of_frequencies,
+    RowCounter, log_frequencies, logged_frequencies, on_warnings, rows_processed, stream_frequencies, stream_profile,
+    top_of_frequencies,
 )
 
 
@@ -41,6 +42,38 @@ def test_running_profile_equals_batch(spark, tmp_path):
         row = found[p.name]
         assert (row.type, row.missing, row.non_null, row.min_number, row.mean) == (p.type, p.missing, p.non_null, p.min_number, p.mean)
         assert abs(row.distinct - p.distinct) <= 0.06 * p.distinct
+    estimated = profile(spark.read.schema(schema).parquet(f"{folder}/part-*"), mode="approx").profiles.collect()
+    assert found["value"].histogram == estimated[0].histogram
+
+
+def test_running_histograms_and_dates(spark):
+    """Few values fit the sketch, so both routes estimate alike; dates keep their spelling."""
+    df = spark.range(-90, 211).selectExpr(
+        "CAST(id AS DOUBLE) AS whole", "id / 7 AS parts", "3 AS same", "CAST(NULL AS INT) AS none",
+        "IF(id = -90, '2024-01-01T10:00:00Z', IF(id = 210, ' 2024-03-01 ', '2024-02-01')) AS day",
+    )
+    found = {r["name"]: r for r in stream_profile(df).collect()}
+    exact, estimated = ({r["name"]: r for r in profile(df, mode=m).profiles.collect()} for m in ("exact", "approx"))
+    for name in ("whole", "parts", "same", "none"):
+        assert found[name].histogram == estimated[name].histogram
+        for ours, true in zip(found[name].histogram or [], exact[name].histogram or []):
+            assert (ours.start, ours.end) == (true.start, true.end) and abs(ours["count"] - true["count"]) <= 3
+        assert "histogram" in found[name].approximate_metrics or name in ("same", "none")
+    assert [found["day"][k] == exact["day"][k] for k in ("min_text", "max_text")] == [True, True]
+    assert found["day"].min_text == "2024-01-01T10:00:00Z"
+
+
+def test_logged_frequencies_write_changes_only(spark, tmp_path):
+    source, log, state = (str(tmp_path / name) for name in ("in", "log", "state"))
+    for batch in ("id % 50", "IF(id < 97, 7, 60 + id % 3)"):
+        spark.range(100).selectExpr(f"{batch} AS v").coalesce(1).write.mode("append").parquet(source)
+        log_frequencies(spark.readStream.schema("v bigint").parquet(source), log, state).awaitTermination()
+    written = {r["batch"]: r["count"] for r in spark.read.parquet(log).groupBy("batch").count().collect()}
+    assert written == {0: 50, 1: 4}
+    now = {int(r["num"]): r["cnt"] for r in logged_frequencies(spark, log).collect()}
+    assert now == {v: 2 for v in range(50)} | {7: 99, 60: 1, 61: 1, 62: 1}
+    before = logged_frequencies(spark, log, through=0).collect()
+    assert len(before) == 50 and {r["cnt"] for r in before} == {2}
 
 
 def test_running_frequencies_and_warnings(spark, tmp_path):
