@@ -7,6 +7,7 @@ The given tables hold no nulls, so several queries blank out cells by the same r
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,11 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.cells import stage
-from colscope.functions.text import quoted
+from colscope.functions.text import CUT_MARKER, MAX_DISPLAY_UNITS, quoted
 from colscope.operators.display import render_columns, tsv_rows, value_text
-from colscope.operators.metadata import column_listing, profile_report, search_columns, table_summary
+from colscope.operators.metadata import (
+    column_listing,
+    column_warnings,
+    profile_report,
+    search_columns,
+    table_summary,
+)
 from colscope.operators.sinks import write_profile, write_tsv
-from colscope.operators.view import Filter, Sort, ViewSpec, apply_view, number_rows
+from colscope.operators.view import (
+    Filter,
+    Sort,
+    ViewSpec,
+    apply_view,
+    filter_predicate,
+    number_rows,
+    operators_for_type,
+)
 from colscope.options import DelimitedOptions, Limits
 from colscope.plans.profile import profile
 from colscope.plans.progress import count_rows
@@ -1237,3 +1252,182 @@ def stream_warnings_events(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.parquet(target)
     last = found.agg(F.max("batch").alias("batch"))
     return found.join(F.broadcast(last), "batch").select("name", "code", "message")
+
+
+# -- headers, options, saved views --------------------------------------------------------------
+
+
+@register(
+    "csv_header_names",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, CAST(count(*) AS BIGINT) AS non_null, CAST(count(DISTINCT {column}) AS BIGINT) AS values_seen FROM orders"
+        for name, column in (("id", "o_orderkey"), ("column_2", "o_custkey"), ("id_2", "o_orderstatus"), ("id_3", "o_orderpriority"))
+    ),
+)
+def csv_header_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Blank and repeated headers get names of their own."""
+    value = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)"
+    path = _write_lines(load(spark, folder, "orders").repartition(4), value, ("id,,id, id ",))
+    source = open_delimited(spark, path, DelimitedOptions())
+    found = profile(source.df, source.fields, source.columns, metrics={"distinct"})
+    return found.profiles.selectExpr("name", "non_null", "distinct AS values_seen")
+
+
+@register(
+    "csv_parsing_metadata",
+    "SELECT 'auto' AS chosen, ';' AS detected, ';' AS resolved, CAST(2 AS BIGINT) AS width, CAST(count(*) AS BIGINT) AS n_rows FROM orders "
+    "UNION ALL SELECT 'pipe', ';', '|', 1, count(*) FROM orders",
+)
+def csv_parsing_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """What was detected, what was used, and the table that came of it."""
+    path = _write_csv(load(spark, folder, "orders", "o_orderkey", "o_orderstatus"), sep=";")
+    parts = []
+    for chosen in ("auto", "pipe"):
+        source = open_delimited(spark, path, DelimitedOptions(delimiter=chosen))
+        known = source.parsing
+        parts.append(source.df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(known.applied.delimiter).alias("chosen"), F.lit(known.detected_delimiter).alias("detected"),
+            F.lit(known.resolved_delimiter).alias("resolved"), F.lit(len(source.columns)).cast("long").alias("width"), "n_rows",
+        ))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+HEAD_NUMBERS = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+
+
+@register(
+    "preview_profile_lineitem",
+    "WITH h AS (SELECT * FROM lineitem LIMIT 150), n AS (SELECT CAST(count(*) AS BIGINT) AS total_rows FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS name, CAST(count({name}) AS BIGINT) AS non_null, CAST(min({name}) AS DOUBLE) AS min_number, "
+        f"CAST(max({name}) AS DOUBLE) AS max_number, CAST(count(DISTINCT {name}) AS BIGINT) AS values_seen, any_value(total_rows) AS total_rows FROM h, n"
+        for name in HEAD_NUMBERS
+    ),
+)
+def preview_profile_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Profile of the first rows and columns; the number of all rows comes with it."""
+    found = preview(table(spark, folder, "lineitem"), Limits(preview_rows=150, max_columns=10))
+    return found.profile.profiles.where(F.col("name").isin(*HEAD_NUMBERS)).selectExpr(
+        "name", "non_null", "min_number", "max_number", "distinct AS values_seen", f"{found.total_rows}L AS total_rows"
+    )
+
+
+@register(
+    "top_values_shown_texts",
+    "SELECT 'text' AS name, position, value, frequency FROM (SELECT "
+    f"CASE WHEN length(text) > {MAX_DISPLAY_UNITS} THEN substr(text, 1, {MAX_DISPLAY_UNITS - len(CUT_MARKER)}) || '{CUT_MARKER}' ELSE text END AS value, "
+    "CAST(count(*) AS BIGINT) AS frequency, CAST(row_number() OVER (ORDER BY count(*) DESC, text) AS BIGINT) AS position "
+    "FROM documents WHERE text <> '' GROUP BY text) WHERE position <= 5",
+)
+def top_values_shown_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts are counted, short forms are shown."""
+    return _top_values(profile(load(spark, folder, "documents", "text"), metrics={"top_values"}).profiles)
+
+
+SAVED_VIEWS = (
+    {
+        "filters": [
+            {"id": "a", "columnIndex": 3, "operator": "between", "value": "1000", "secondValue": "50000.5"},
+            {"id": "b", "columnIndex": 99, "operator": "equals", "value": "x"},
+        ],
+        "sort": {"columnIndex": 3, "direction": "desc"},
+    },
+    {
+        "query": " f ",
+        "filters": [{"id": "c", "columnIndex": 2, "operator": "greaterThan", "value": "5"}, {"id": "", "columnIndex": 0}],
+        "sort": {"columnIndex": 0, "direction": "up"},
+    },
+    {"filters": "none"},
+)
+SAVED_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@register(
+    "saved_views_orders",
+    "SELECT 'o_totalprice: Between 1000 and 50000.5; Sort: o_totalprice desc' AS described, CAST(count(*) AS BIGINT) AS n_rows, "
+    "CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS key_sum FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000.5 "
+    "UNION ALL SELECT 'Search: f', count(*), coalesce(sum(o_orderkey), 0) FROM orders WHERE lower(o_orderstatus) LIKE '%f%' "
+    "UNION ALL SELECT '', count(*), sum(o_orderkey) FROM orders",
+)
+def saved_views_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Views restored from saved records against the profiled columns; what does not fit is dropped."""
+    df = load(spark, folder, "orders", *SAVED_COLUMNS)
+    source, types = Table.from_dataframe(df), profile(df, metrics=()).types
+    parts = []
+    for saved in SAVED_VIEWS:
+        spec = ViewSpec.from_dict(saved, types)
+        parts.append(apply_view(source, spec, types).df.agg(F.count("*").alias("n_rows"), F.sum("c0").alias("sum")).select(
+            F.lit(spec.describe(source.columns)).alias("described"), "n_rows",
+            F.coalesce("sum", F.lit(0)).cast("long").alias("key_sum"),
+        ))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+@register(
+    "filter_errors_orders",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, '{message}' AS message, CAST({operators} AS BIGINT) AS operators, CAST(0 AS BIGINT) AS kept, CAST(count(*) AS BIGINT) AS n_rows FROM orders"
+        for name, message, operators in (
+            ("o_orderkey", "Enter a valid number.", 9),
+            ("o_orderstatus", "This operator is not available for the column type.", 8),
+            ("o_orderdate", "Enter a valid date.", 9),
+        )
+    ),
+)
+def filter_errors_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """A filter that fits no column: why it is refused, and that it keeps no row where it is applied."""
+    df = load(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
+    types, staged = profile(df, metrics=()).types, stage(df)
+    parts = []
+    for cell, name, kind in zip(staged.cells, df.columns, types, strict=True):
+        wrong = Filter(cell.index, "greaterThan", "many")
+        rows = staged.df.agg(
+            F.expr(f"count_if({filter_predicate(wrong, cell, kind)})").alias("kept"), F.count("*").alias("n_rows")
+        )
+        parts.append(rows.select(
+            F.lit(name).alias("name"), F.lit(wrong.error(kind)).alias("message"),
+            F.lit(len(operators_for_type(kind))).cast("long").alias("operators"), "kept", "n_rows",
+        ))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+@register(
+    "sort_toggled_orders",
+    "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders",
+)
+def sort_toggled_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """A second click on a column turns its order."""
+    df = load(spark, folder, "orders", "o_orderkey", "o_totalprice", "o_orderkey AS _row_index")
+    spec = ViewSpec().toggle_sort(1).toggle_sort(1)
+    found = apply_view(Table.from_dataframe(df, order=["_row_index"]), spec, ["number", "number"])
+    return number_rows(found.df, "place").selectExpr("c0 AS o_orderkey", "place")
+
+
+PART_NUMBERS = "CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE CAST(o_custkey AS {}) END"
+
+
+@register(
+    "sort_number_then_text",
+    "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END, "
+    "CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_custkey END, CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderstatus) ELSE '' END, o_orderkey) AS BIGINT) AS place FROM orders",
+)
+def sort_number_then_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that are no numbers follow the numbers in text order."""
+    df = load(spark, folder, "orders", "o_orderkey", PART_NUMBERS.format("STRING") + " AS v", "o_orderkey AS _row_index")
+    found = apply_view(Table.from_dataframe(df, order=["_row_index"]), ViewSpec(sort=Sort(1)), ["number", "number"])
+    return number_rows(found.df, "place").selectExpr("c0 AS o_orderkey", "place")
+
+
+RULED_TYPES = {"maybe_key": "number", "mixed": "mixed", "nothing": "empty", "gaps": "text", "l_quantity": "number", "identifier": "text"}
+
+
+@register(
+    "column_warnings_lineitem",
+    "SELECT k.column_index, w.name, k.type, w.code FROM ("
+    + _rules_sql(f"SELECT {', '.join(RULED)} FROM lineitem", RULED_TYPES)
+    + ") w JOIN (VALUES " + ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(RULED_TYPES.items()))
+    + ") k(column_index, name, type) ON k.name = w.name",
+)
+def column_warnings_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    found = profile(load(spark, folder, "lineitem", *RULED), metrics={"distinct"})
+    return column_warnings(found).select("column_index", "name", "type", "code")
