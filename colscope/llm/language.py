@@ -109,8 +109,10 @@ def learn(docs: DataFrame) -> DataFrame:
     lang = F.col("lang").cast("string").alias("lang")
     known = id_and_text(docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL"), lang)
     totals = known.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return totals.select("lang", "gram", (rank - 1).alias("rank")).filter(F.col("rank") < PROFILE)
+    # The limit stands on the number itself, so each task cuts its n-grams down to it before the shuffle.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    first = totals.withColumn("place", place).filter(F.col("place") <= PROFILE)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:

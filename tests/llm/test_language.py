@@ -70,3 +70,8 @@ def test_odd_rows(spark, make_docs):
     nothing = language.identify(docs, language.learn(docs.withColumn("lang", F.lit(None).cast("string"))))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
     assert language.identify(make_docs(), language.learn(make_docs())).count() == 0
+
+
+def test_rank_limit_comes_before_the_shuffle(spark):
+    plan = language.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
