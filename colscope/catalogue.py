@@ -582,6 +582,27 @@ for _suffix, (_filter, _condition) in DECIMAL_FILTERS.items():
         return apply_view(stored, ViewSpec(filters=(Filter(1, *chosen),)), ["number", "number"]).named().select("c_custkey")
 
 
+NARROWED = {
+    "wide_decimal_between": ("l_extendedprice", "DECIMAL(20,2)", ("between", "1000.005", "2500.5"), "v BETWEEN 1000.005 AND 2500.5"),
+    "wide_decimal_lt": ("l_extendedprice", "DECIMAL(20,2)", ("lessThan", "1500"), "v < 1500"),
+    "float_ge": ("l_discount", "FLOAT", ("greaterThanOrEqual", "0.07"), "v >= CAST(0.07 AS DOUBLE)"),
+    "float_eq": ("l_discount", "FLOAT", ("equals", "0.05"), "v = CAST(0.05 AS DOUBLE)"),
+    "float_ne": ("l_quantity", "FLOAT", ("notEquals", "7"), "v <> 7"),
+}
+for _suffix, (_column, _kind, _filter, _condition) in NARROWED.items():
+
+    @register(
+        f"filter_{_suffix}",
+        f"SELECT l_orderkey, l_linenumber FROM (SELECT *, CAST(CAST({_column} AS {_kind}) AS DOUBLE) AS v FROM lineitem) WHERE {_condition}",
+    )
+    def filter_narrowed(spark: SparkSession, folder: str, column=_column, kind=_kind, chosen=_filter) -> DataFrame:
+        path = scratch_folder(spark)
+        load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", f"CAST({column} AS {kind}) AS v").write.parquet(path)
+        stored = open_table(spark, path, format="parquet")
+        found = apply_view(stored, ViewSpec(filters=(Filter(2, *chosen),)), ["number"] * 3)
+        return found.named().select("l_orderkey", "l_linenumber")
+
+
 FLAGS = "CASE WHEN toxic = 1 THEN 'True' WHEN quality = 1 THEN 'FALSE' ELSE ' true ' END"
 for _suffix, _operator, _wanted in [("true", "isTrue", "true"), ("false", "isFalse", "false")]:
     register(f"filter_bool_{_suffix}", f"SELECT doc_id FROM labels WHERE lower({FLAGS}) = '{_wanted}'")(
