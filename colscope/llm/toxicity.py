@@ -4,79 +4,127 @@ A word is a run of word characters in lower case. Its embedding is the sum of th
 first ``PREFIXES`` characters are hashed to, so that forms of one stem share what they learn. Filters
 of ``WIDTHS`` words slide over the text; each takes its maximum in every region of ``REGION`` words. The largest and the
 mean of these maxima over the regions go to a logistic layer: one hit counts, and so does how often hits occur. It is
-trained by Adam on at most ``SAMPLE`` labelled documents of either class, one batch after the other.
+trained by Adam on all labelled documents.
+
+Labelled documents are dealt to shards of about ``SHARD``, by a hash, and become batches of ``BATCH`` texts as
+numbers of words. In each of ``EPOCHS`` rounds every shard takes the parameters of the round before once through its
+batches, then the shards' parameters are averaged: rows of the embedding table by the batches that touched them, the others by
+documents. Only parameters are shuffled between rounds; the driver holds averages, of fixed size.
 
 Thresholds are calibrated by language, but the ``lang`` of a document is never asked for when it is scored: a
-naive Bayes model of words, learned from the same training rows, guesses the language from the text. Training is repeated
-on ``FOLDS`` parts; the logits of rows that a model has not seen give the threshold of a language, the one
+naive Bayes model of words, counted over the same training rows, guesses the language from the text. Training is repeated
+on ``FOLDS`` parts; the logits of all rows, each by the model that has not seen it, give the threshold of a language, the one
 that parts its toxic and clean rows best. With fewer than ``ENOUGH`` rows of either class it is the threshold of all
 rows. The score is the logistic function of the logit above the threshold, so 0.5 is the cutoff in every language.
 
-Texts are scored whole, in runs of words, whatever their length; nothing is shuffled but the training sample.
+Texts are learned from and scored whole, in runs of words, whatever their length.
 
 Defined cases: null, empty and wordless texts score by the bias alone, as texts of the pooled language;
 several labels of a document count as the worst, null labels and ids are no labels; without labels of
 both classes every score is 0; repeated rows and null ids are scored as they come; an empty table gives an empty
-result; other columns are ignored. Labelled texts of more than ``LONGEST`` characters are not trained on.
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from colscope.llm.common import decoded, id_and_text, map_rows, sampled_ids
+from colscope.llm.common import decoded, id_and_text, map_rows, save
+from colscope.llm.ordered import running
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 7)
 ROWS, SIZE = 1 << 16, 16
 WIDTHS, FILTERS, REGION = (1, 2, 3, 4), 8, 64
 REACH = max(WIDTHS) - 1
-#: Labelled documents of either class that are trained on, about, at most, and their length in characters.
-SAMPLE, LONGEST = 2000, 200_000
+#: Labelled documents that one task trains on, about, and labelled ids that are broadcast at most.
+SHARD, FEW = 60_000, 8_000_000
 EPOCHS, BATCH, RATE, FOLDS, ENOUGH, SEED = 6, 32, 0.01, 3, 12, 5
 #: What the share of clean rows above a threshold costs against the share of toxic ones.
 PRICE = 4.0
-#: Regions that are looked at together.
-RUN = 512
+#: Regions that are looked at together, beginnings whose rows a process remembers, and table rows that are averaged together.
+RUN, MEMO, CHUNK = 64, 1 << 17, 1024
 
 
-def rows_of(word: str) -> list[int]:
+def rows_of(word: str) -> tuple[int, ...]:
     """Rows of the embedding table for a word: its own first, then those of its beginnings."""
-    parts = [word.encode(), *(b"%d:%s" % (n, word[:n].encode()) for n in PREFIXES)]
-    return [xxhash.xxh3_64_intdigest(x) % ROWS for x in parts]
+    return xxhash.xxh3_64_intdigest(word.encode()) % ROWS, *[row_of_start(n, word[:n]) for n in PREFIXES]
+
+
+@lru_cache(MEMO)
+def row_of_start(length: int, start: str) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d:%s" % (length, start.encode())) % ROWS
 
 
 class Words:
     """Numbers for the words of one run of texts, from 1 on; 0 is the space after a text."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(count(1).__next__)
 
     def of(self, words: Iterable[str]) -> np.ndarray:
-        number = self.number
-        return np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64)
 
     def rows(self) -> np.ndarray:
-        return np.array([rows_of(w) for w in self.number], np.int64).reshape(-1, 1 + len(PREFIXES))
+        return np.fromiter(chain.from_iterable(map(rows_of, self.number)), np.uint16).reshape(-1, 1 + len(PREFIXES))
 
 
 def regions(words: np.ndarray) -> np.ndarray:
     """The words of a text in rows of ``REGION`` words, each with the ``REACH`` words after it."""
     count = -(-len(words) // REGION)
-    padded = np.zeros(count * REGION + REACH, np.int64)
+    padded = np.zeros(count * REGION + REACH, words.dtype)
     padded[: len(words)] = words
     return np.lib.stride_tricks.sliding_window_view(padded, REGION + REACH)[::REGION]
 
 
+@dataclass
+class Batch:
+    """Some texts: table rows of their words, their regions as numbers of words, and how many regions each text has."""
+
+    rows: np.ndarray
+    parts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray], rows: np.ndarray) -> Batch:
+        parts = [regions(words.astype(np.uint32)) for words in texts if len(words)]
+        sizes = np.array([-(-len(words) // REGION) for words in texts], np.int64)
+        return cls(rows, np.concatenate([np.zeros((0, REGION + REACH), np.uint32), *parts]), sizes)
+
+    def only(self, kept: np.ndarray) -> Batch:
+        """Some of the texts."""
+        return Batch(self.rows, self.parts[np.repeat(kept, self.sizes)], self.sizes[kept])
+
+    @property
+    def worded(self) -> np.ndarray:
+        return np.flatnonzero(self.sizes)
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where the regions of each worded text begin."""
+        sizes = self.sizes[self.worded]
+        return np.cumsum(sizes) - sizes
+
+    def features(self, tops: np.ndarray) -> np.ndarray:
+        """The largest and the mean of the maxima over the regions of each worded text."""
+        largest, total = np.maximum.reduceat(tops, self.starts), np.add.reduceat(tops, self.starts)
+        return np.concatenate([largest, total / self.sizes[self.worded, None]], 1)
+
+
 @dataclass
 class Network:
     """The parameters: embeddings, filters by width, and the logistic layer."""
@@ -91,31 +139,53 @@ class Network:
         draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
         return cls(draw(0.05, ROWS, SIZE), [draw(0.3, w, SIZE, FILTERS) for w in WIDTHS], draw(0.1, 2 * FILTERS * len(WIDTHS)), 0.0)
 
-    def arrays(self) -> tuple:
-        return self.table, self.filters, self.out, self.bias
+    def copy(self) -> Network:
+        return Network(self.table.copy(), [w.copy() for w in self.filters], self.out.copy(), self.bias)
 
-    def embedded(self, rows: np.ndarray) -> np.ndarray:
-        """Embeddings of words by number; number 0 is all zero."""
-        return np.concatenate([np.zeros((1, SIZE), np.float32), self.table[rows].sum(1)])
+    def others(self) -> np.ndarray:
+        """All parameters but the embeddings in one row."""
+        return np.concatenate([*(w.ravel() for w in self.filters), self.out, [self.bias]]).astype(np.float32)
 
-    def projected(self, embedded: np.ndarray) -> list[list[np.ndarray]]:
-        """For each width and place in a filter, what each word adds there."""
-        return [[embedded @ weights[k] for k in range(width)] for width, weights in zip(WIDTHS, self.filters)]
+    def set_others(self, values: np.ndarray) -> None:
+        for array in (*self.filters, self.out):
+            array[...], values = values[: array.size].reshape(array.shape), values[array.size :]
+        self.bias = float(values[0])
 
-
-def pooled(projected: list[list[np.ndarray]], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximum of each filter in each region, and where it is."""
-    tops, places = [], []
-    blank = parts[:, :REGION] == 0
-    for added in projected:
-        found = added[0][parts[:, :REGION]]
-        for k in range(1, len(added)):
-            found += added[k][parts[:, k : k + REGION]]
-        found[blank] = -np.inf
-        place = found.argmax(1)
-        places.append(place)
-        tops.append(np.take_along_axis(found, place[:, None, :], 1)[:, 0])
-    return np.concatenate(tops, 1), np.concatenate(places, 1)
+    def embedded(self, rows: np.ndarray) -> np.ndarray:
+        """Embeddings of words by number; number 0 is all zero."""
+        found = np.zeros((len(rows) + 1, SIZE), self.table.dtype)
+        for column in rows.T:
+            found[1:] += self.table.take(column.astype(np.int64), 0, mode="clip")
+        return found
+
+    def placed(self) -> list[np.ndarray]:
+        """For each place in a filter, what all filters hold there; zero for shorter ones."""
+        blank = np.zeros((SIZE, FILTERS), self.table.dtype)
+        return [np.concatenate([w[k] if k < len(w) else blank for w in self.filters], 1) for k in range(max(WIDTHS))]
+
+    def projected(self, embedded: np.ndarray) -> list[np.ndarray]:
+        """For each place in a filter, what each word adds there. No filter begins behind a text."""
+        found = [embedded @ weights for weights in self.placed()]
+        found[0][0] = -np.inf
+        return found
+
+
+def pooled(projected: list[np.ndarray], parts: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The maximum of each filter in each region and, on demand, the first place that has it."""
+    n = projected[0].shape[1]
+    tops, first = np.empty((len(parts), n), projected[0].dtype), np.empty((len(parts) if places else 0, n), np.int64)
+    for start in range(0, len(parts), RUN):
+        words = parts[start : start + RUN].ravel().astype(np.int64)
+        found = projected[0].take(words, 0, mode="clip")
+        for k in range(1, len(projected)):
+            found[:-k] += projected[k].take(words[k:], 0, mode="clip")  # what this adds across regions lies behind REGION
+        found = found.reshape(-1, REGION + REACH, n)[:, :REGION]
+        top = found.max(1, out=tops[start : start + RUN])
+        if places:
+            line, at = np.divmod(np.flatnonzero(found == top[:, None])[::-1], REGION * n)
+            place, column = np.divmod(at, n)
+            first[start + line, column] = place
+    return tops, first
 
 
 class Adam:
@@ -124,120 +194,131 @@ class Adam:
     def __init__(self, array: np.ndarray) -> None:
         self.array, self.mean, self.square, self.count = array, np.zeros_like(array), np.zeros_like(array), 0
 
-    def step(self, gradient: np.ndarray, at=slice(None)) -> None:
+    def step(self, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
         self.count += 1
-        self.mean[at] = 0.9 * self.mean[at] + 0.1 * gradient
-        self.square[at] = 0.99 * self.square[at] + 0.01 * gradient**2
-        mean, square = self.mean[at] / (1 - 0.9**self.count), self.square[at] / (1 - 0.99**self.count)
-        self.array[at] -= RATE * mean / (np.sqrt(square) + 1e-7)
+        mean, square, values = (x if at is None else x.take(at, 0, mode="clip") for x in (self.mean, self.square, self.array))
+        mean *= 0.9
+        mean += 0.1 * gradient
+        square *= 0.99
+        square += 0.01 * gradient**2
+        change = np.sqrt(square / (1 - 0.99**self.count))
+        change += 1e-7
+        values -= np.divide(RATE / (1 - 0.9**self.count) * mean, change, out=change)
+        if at is not None:
+            self.mean[at], self.square[at], self.array[at] = mean, square, values
+
+
+def adams(net: Network) -> list[Adam]:
+    return [Adam(x) for x in (net.table, *net.filters, net.out)]
 
 
 def train(texts: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Network:
-    """A network for texts given as numbers of words, whose table rows are in ``rows``."""
+    """A network for texts given as numbers of words, whose table rows are in ``rows``: what ``fit`` does in one shard."""
     rng = np.random.default_rng(seed)
     net = Network.new(rng)
-    steps = [Adam(x) for x in (net.table, *net.filters, net.out)]
     weight = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (~labels).sum())) * len(labels)
     known = [k for k, words in enumerate(texts) if len(words)]
     for _ in range(EPOCHS):
-        order = rng.permutation(known)
+        steps, order = adams(net), rng.permutation(known)
         for start in range(0, len(order), BATCH):
             _step(net, steps, [texts[k] for k in order[start : start + BATCH]], rows, labels[order[start : start + BATCH]], weight[order[start : start + BATCH]])
     return net
 
 
 def _step(net: Network, steps: list[Adam], texts: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
-    """One step along the gradient of the weighted log loss of a batch."""
-    parts = [regions(words) for words in texts]
-    sizes = np.array([len(x) for x in parts])
-    starts = np.cumsum(sizes) - sizes
-    parts = np.concatenate(parts)
-    numbers, parts = np.unique(parts, return_inverse=True)
-    if numbers[0]:  # number 0 stays the first one
-        numbers, parts = np.concatenate([[0], numbers]), parts + 1
-    parts = parts.reshape(-1, REGION + REACH)
-    word_rows = rows[numbers[1:] - 1]
-    embedded = net.embedded(word_rows)
-    tops, places = pooled(net.projected(embedded), parts)
-    largest, mean = np.maximum.reduceat(tops, starts), np.add.reduceat(tops, starts) / sizes[:, None]
-    features = np.concatenate([largest, mean], 1)
+    """One step for texts whose words are some of those in ``rows``."""
+    numbers, words = np.unique(np.concatenate(texts), return_inverse=True)
+    texts = np.split(words + 1, np.cumsum([len(words) for words in texts])[:-1])
+    learn(net, steps, Batch.of(texts, rows[numbers - 1]), labels, weight)
+
+
+def learn(net: Network, steps: list[Adam], batch: Batch, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """One step along the gradient of the weighted log loss of a batch; returns the rows of the table that it touched."""
+    kind = net.table.dtype
+    worded, starts, parts = batch.worded, batch.starts, batch.parts
+    sizes, labels, weight = batch.sizes[worded], labels[worded], weight[worded]
+    if not len(worded):
+        return worded
+    embedded, filters = net.embedded(batch.rows), net.placed()
+    tops, places = pooled(net.projected(embedded), parts, True)
+    features = batch.features(tops)
     logit = features @ net.out + net.bias
-    error = ((1 / (1 + np.exp(-logit)) - labels) * weight / len(texts)).astype(np.float32)
+    error = ((1 / (1 + np.exp(-logit)) - labels) * weight / len(worded)).astype(kind)
     # Back through the two poolings: the mean reaches all regions of a text, the maximum the first that has it.
-    text = np.repeat(np.arange(len(texts)), sizes)
+    text = np.repeat(np.arange(len(worded)), sizes)
     n = tops.shape[1]
     reach = error[:, None] * net.out
     down = (reach[:, n:] / sizes[:, None])[text]
-    at_top = tops == largest[text]
+    at_top = tops == features[:, :n][text]
     at_top &= np.cumsum(at_top, 0) - (np.cumsum(at_top, 0) - at_top)[starts][text] == 1
     down += np.where(at_top, reach[:, :n][text], 0)
+    line, column = np.arange(len(parts))[:, None], np.arange(n)
+    owns = [np.flatnonzero(np.repeat(np.array(WIDTHS) > k, FILTERS)) for k in range(max(WIDTHS))]
+    met = [parts[line, places[:, own] + k] for k, own in enumerate(owns)]
+    hit = np.zeros(len(embedded), bool)  # only words at a maximum have a gradient
+    for numbers in met:
+        hit[numbers.ravel()] = True
+    hit[0] = False
+    index = np.cumsum(hit)
+    index[~hit] = 0
+    hit = np.flatnonzero(hit)
+    embedded = np.concatenate([embedded[:1], embedded.take(hit, 0, mode="clip")])
     words = np.zeros_like(embedded)
-    line = np.arange(len(parts))[:, None]
-    gradients = []
-    for w, (width, weights) in enumerate(zip(WIDTHS, net.filters)):
-        own = slice(w * FILTERS, (w + 1) * FILTERS)
-        place, flow = places[:, own], down[:, own]
-        gradient = np.zeros_like(weights)
-        for k in range(width):
-            met = parts[line, place + k]
-            gradient[k] = np.einsum("rf,rfd->df", flow, embedded[met])
-            np.add.at(words, met.ravel(), (flow[..., None] * weights[k].T).reshape(-1, SIZE))
-        gradients.append(gradient)
+    gradients = [np.zeros_like(weights) for weights in net.filters]
+    for k, (own, numbers) in enumerate(zip(owns, met)):
+        at = index[numbers] * len(own) + column[: len(own)]
+        flow = np.bincount(at.ravel(), down[:, own].ravel(), len(embedded) * len(own)).reshape(-1, len(own)).astype(kind)
+        words += flow @ filters[k][:, own].T
+        gradient = embedded.T @ flow
+        for w, width in enumerate(WIDTHS):
+            if width > k:
+                gradients[w][k] = gradient[:, own // FILTERS == w]
     # Rows of the table that a word uses take the gradient of the word.
-    touched, where = np.unique(word_rows, return_inverse=True)
-    table = np.zeros((len(touched), SIZE), np.float32)
-    np.add.at(table, where.ravel(), np.repeat(words[1:], word_rows.shape[1], 0))
-    steps[0].step(table, touched)
+    rows = batch.rows[hit - 1]
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    firsts = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
+    touched = flat[order[firsts]].astype(np.int64)
+    if len(touched):
+        steps[0].step(np.add.reduceat(words.take(1 + order // rows.shape[1], 0, mode="clip"), firsts), touched)
     for step, gradient in zip(steps[1:-1], gradients):
         step.step(gradient)
     steps[-1].step(features.T @ error + 1e-3 * net.out)
     net.bias -= RATE * float(error.sum())
+    return touched
 
 
 def logits(net: Network, rows: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """The logit of each text; wordless ones have the bias alone."""
-    found = np.full(len(texts), net.bias, np.float64)
-    worded = [k for k, words in enumerate(texts) if len(words)]
-    if worded:
-        projected = net.projected(net.embedded(rows))
-        parts = [regions(texts[k]) for k in worded]
-        sizes = np.array([len(x) for x in parts])
-        starts = np.cumsum(sizes) - sizes
-        tops = np.concatenate([pooled(projected, block)[0] for block in _blocks(parts)])
-        features = [np.maximum.reduceat(tops, starts), np.add.reduceat(tops, starts) / sizes[:, None]]
-        found[worded] += np.concatenate(features, 1) @ net.out
-    return found
+    return batch_logits(net, Batch.of(texts, rows))
 
 
-def _blocks(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Regions of all texts in arrays of about ``RUN`` of them."""
-    block, held = [], 0
-    for part in parts:
-        for start in range(0, len(part), RUN):
-            block.append(part[start : start + RUN])
-            held += len(block[-1])
-            if held >= RUN:
-                yield np.concatenate(block)
-                block, held = [], 0
-    if block:
-        yield np.concatenate(block)
+def batch_logits(net: Network, batch: Batch) -> np.ndarray:
+    found = np.full(len(batch.sizes), net.bias, np.float64)
+    if len(batch.worded):
+        tops, _ = pooled(net.projected(net.embedded(batch.rows)), batch.parts)
+        found[batch.worded] += batch.features(tops) @ net.out
+    return found
 
 
 class Languages:
     """Naive Bayes of words: the likeliest language of a text by the buckets of its words."""
 
-    def __init__(self, texts: list[np.ndarray], rows: np.ndarray, langs: list[str | None]) -> None:
-        self.names = sorted({x for x in langs if x is not None})
-        counts = np.full((ROWS, len(self.names)), 0.5)
-        for words, lang in zip(texts, langs):
-            if lang is not None:
-                np.add.at(counts, (rows[words - 1, 0], self.names.index(lang)), 1)
+    def __init__(self, names: list[str], counts: np.ndarray) -> None:
+        self.names = names
+        counts = counts + 0.5
         self.logs = np.log(counts / counts.sum(0)).astype(np.float32)
 
-    def guess(self, texts: list[np.ndarray], rows: np.ndarray) -> list[str | None]:
+    def guess(self, batch: Batch) -> list[str | None]:
         """None for a wordless text, or where no language is known."""
-        logs = self.logs[rows[:, 0]]
-        return [self.names[int(logs[words - 1].sum(0).argmax())] if len(words) and self.names else None for words in texts]
+        found: list[str | None] = [None] * len(batch.sizes)
+        if self.names and len(batch.worded):
+            logs = np.concatenate([np.zeros((1, len(self.names)), np.float32), self.logs[batch.rows[:, 0]]])
+            runs = [batch.parts[start : start + RUN, :REGION] for start in range(0, len(batch.parts), RUN)]
+            sums = np.add.reduceat(np.concatenate([logs[run].sum(1, dtype=np.float64) for run in runs]), batch.starts)
+            for k, best in zip(batch.worded.tolist(), sums.argmax(1).tolist()):
+                found[k] = self.names[best]
+        return found
 
 
 def threshold(toxic: np.ndarray, clean: np.ndarray) -> float:
@@ -273,66 +354,242 @@ class Model:
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
         """The score and the guessed language of each text."""
         words = Words()
-        numbers = [words.of(m[0] for m in WORD.finditer(text.lower())) for text in texts]
-        rows = words.rows()
-        guessed = self.languages.guess(numbers, rows)
+        numbers = [words.of(WORD.findall(text.lower())) for text in texts]
+        batch = Batch.of(numbers, words.rows())
+        guessed = self.languages.guess(batch)
         cut = np.array([self.thresholds.get(name, self.thresholds[None]) for name in guessed])
-        return 1 / (1 + np.exp(cut - logits(self.network, rows, numbers))), guessed
+        return 1 / (1 + np.exp(cut - batch_logits(self.network, batch))), guessed
+
+
+BLOCKS = "shard int, rows binary, parts binary, sizes array<int>, folds array<int>, toxic array<boolean>, langs array<string>"
+
+
+def block(shard: int, texts: list[str], toxic: list[bool], langs: list[str | None]) -> tuple:
+    """A row of ``BLOCKS``. Equal texts share a fold."""
+    words = Words()
+    numbers = [words.of(WORD.findall(text.lower())) for text in texts]
+    folds = [xxhash.xxh3_64_intdigest(text) % FOLDS for text in texts]
+    batch = Batch.of(numbers, words.rows())
+    parts = batch.parts.astype(part_type(len(batch.rows)))
+    return shard, batch.rows.tobytes(), parts.tobytes(), batch.sizes.tolist(), folds, toxic, langs
+
+
+def part_type(words: int) -> type:
+    return np.uint16 if words < 1 << 16 else np.uint32
+
+
+def read_block(row: dict) -> Batch:
+    rows = np.frombuffer(row["rows"], np.uint16).reshape(-1, 1 + len(PREFIXES))
+    return Batch(rows, np.frombuffer(row["parts"], part_type(len(rows))).reshape(-1, REGION + REACH), np.array(row["sizes"], np.int64))
+
 
+def arrow_rows(df: DataFrame, schema: str, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterable[list[tuple]]]) -> DataFrame:
+    """Run ``rows_of`` over the Arrow batches of a partition; it yields lists of output tuples."""
+    fields = to_arrow_schema(_parse_datatype_string(schema))
 
-def training_sample(docs: DataFrame, labels: DataFrame, part: str) -> pa.Table:
-    """``text, lang, toxic`` of about ``SAMPLE`` documents of either class: what the driver reads, bounded by parameters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    return df.mapInArrow(run, schema)
+
+
+def training_blocks(docs: DataFrame, labels: DataFrame, part: str) -> DataFrame:
+    """All labelled documents of ``part`` as rows of ``BLOCKS``, a shard in each partition."""
     worst = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     worst = worst.agg((F.max("toxic") > 0).alias("toxic"))
-    ids = [sampled_ids(worst.filter(F.col("toxic") == side), SAMPLE, SEED).withColumn("toxic", F.lit(side)) for side in (True, False)]
+    known = worst.count()
+    shards = max(1, -(-known // SHARD))
     texts = docs.filter(part).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    texts = texts.filter(F.length("text") <= LONGEST).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))  # repeated ids count once
-    return one.select("x.text", "x.lang", "toxic").orderBy(F.xxhash64("text", "lang"), "toxic").toArrow()
+    key = F.xxhash64(F.lit(SEED), "doc_id").alias("key")
+    # Ids go to the texts while they fit; Spark takes them for larger than they are and would shuffle all texts.
+    dealt = texts.join(F.broadcast(worst) if known <= FEW else worst, "doc_id").select(key, "toxic", "doc_id", "text", "lang")
+    # Two partitions at least, one of them empty for a single shard: a union would join single ones to one task.
+    dealt = dealt.withColumn("place", F.expr("key" if shards > 1 else "pmod(key, 1)")).repartition(max(2, shards), "place")
+    one = dealt.groupBy("place", "key", "doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))  # repeated ids count once
+    one = one.sortWithinPartitions("place", "key", "doc_id").select(F.col("x.text").cast("binary").alias("text"), "toxic", "x.lang")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        shard, waiting = TaskContext.get().partitionId(), []
+        for batch in batches:
+            for row in zip(*(batch[name] for name in ("text", "toxic", "lang"))):
+                waiting.append([x.as_py() for x in row])
+                if len(waiting) == BATCH:
+                    yield [made(shard, waiting)]
+                    waiting = []
+        if waiting:
+            yield [made(shard, waiting)]
 
+    def made(shard: int, waiting: list[list]) -> tuple:
+        texts, toxic, langs = zip(*waiting)
+        return block(shard, [decoded(text) for text in texts], toxic, langs)
 
-def fit(docs: DataFrame, labels: DataFrame, part: str = "true") -> Model | None:
-    """The model learned from the rows of ``docs`` in ``part``; none without labels of both classes.
+    return arrow_rows(one, BLOCKS, rows)
 
-    The folds are trained side by side, each in a task of its own.
+
+def counted_languages(blocks: DataFrame) -> Languages:
+    """The naive Bayes model of all blocks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        counts = defaultdict(lambda: np.zeros(ROWS, np.int64))
+        for batch in batches:
+            for row in batch.select(["rows", "parts", "sizes", "langs"]).to_pylist():
+                batch = read_block(row)
+                ends = np.cumsum(batch.sizes)
+                for lang, start, end in zip(row["langs"], ends - batch.sizes, ends):
+                    words = batch.parts[start:end, :REGION].ravel()
+                    if lang is not None:
+                        here = counts[lang]
+                        np.add.at(here, batch.rows[words[words > 0].astype(np.int64) - 1, 0], 1)
+        for lang, found in counts.items():
+            yield [(lang, -1, 0), *((lang, at, int(found[at])) for at in np.flatnonzero(found).tolist())]  # also if it has no word
+
+    found = arrow_rows(blocks, "lang string, row int, n long", rows).groupBy("lang", "row").agg(F.sum("n").alias("n")).toArrow()
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist() if len(found) else []
+    counts = np.zeros((ROWS + 1, len(names)))  # row -1 is the last one
+    if names:
+        counts[found["row"].to_numpy(), lang.indices.to_numpy()] = found["n"].to_numpy()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return Languages([names[k] for k in order], counts[:ROWS, order])
+
+
+class Learner:
+    """A network that takes steps in a task, and how often each row of its table was touched."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.steps, self.touches, self.texts = net, adams(net), np.zeros(ROWS, np.int64), 0
+
+    def learn(self, batch: Batch, labels: np.ndarray, weight: np.ndarray) -> None:
+        self.touches[learn(self.net, self.steps, batch, labels, weight)] += 1
+        self.texts += len(labels)
+
+    def result(self) -> Iterator[tuple]:
+        """``chunk, at, n, content``: touched rows with their counts, and all other parameters as chunk -1."""
+        if self.texts:
+            yield -1, bytes(8), np.array([self.texts]).tobytes(), self.net.others().tobytes()
+        for chunk in range(0, ROWS, CHUNK):
+            at = chunk + np.flatnonzero(self.touches[chunk : chunk + CHUNK])
+            if len(at):
+                yield chunk, at.tobytes(), self.touches[at].tobytes(), self.net.table[at].tobytes()
+
+
+def trained_round(blocks: DataFrame, nets: list[Network], seen: list[set[int]], weights: list[tuple[float, float]], epoch: int) -> None:
+    """One pass of each model over the blocks of its folds, in all shards side by side; their averages go to ``nets``.
+
+    ``weights`` are those of a clean and a toxic document, by model.
     """
-    sample = training_sample(docs, labels, part)
-    texts, langs, toxic = sample["text"].to_pylist(), sample["lang"].to_pylist(), np.array(sample["toxic"].to_pylist(), bool)
-    if not (toxic.any() and (~toxic).any()):
-        return None
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((texts, toxic))
+    parts = [blocks.withColumn("model", F.lit(k)) for k in range(len(nets))]
+    shared = blocks.sparkSession.sparkContext.broadcast(nets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        learners = {}
         for batch in batches:
-            for fold in batch["id"].to_pylist():
-                texts, toxic = shared.value
-                numbers, rows, folds = prepared(texts)
-                seen = folds != fold
-                if not (toxic[seen].any() and (~toxic[seen]).any()):
-                    seen[:] = True
-                net = train([numbers[k] for k in np.flatnonzero(seen)], rows, toxic[seen])
-                unseen = [numbers[k] for k in np.flatnonzero(folds == fold)]
-                content = pickle.dumps(net.arrays() if fold == FOLDS else logits(net, rows, unseen))
-                yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([content], pa.binary())], names=["fold", "content"])
-
-    trained = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, content binary").collect()
-    found = {r["fold"]: pickle.loads(r["content"]) for r in trained}
-    numbers, rows, folds = prepared(texts)
-    logit = np.zeros(len(texts))
-    for fold in range(FOLDS):
-        logit[folds == fold] = found[fold]
-    languages = Languages(numbers, rows, langs)
-    return Model(Network(*found[FOLDS]), languages, thresholds(logit, toxic, languages.guess(numbers, rows)))
-
-
-def prepared(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The words of the texts by number, their table rows, and the fold of each text; equal texts share a fold."""
-    words = Words()
-    numbers = [words.of(WORD.findall(text.lower())) for text in texts]
-    return numbers, words.rows(), np.array([xxhash.xxh3_64_intdigest(t) % FOLDS for t in texts])
+            for k in np.random.default_rng((SEED, epoch)).permutation(batch.num_rows).tolist():
+                row = batch.slice(k, 1).to_pylist()[0]
+                key = model, _ = row["model"], row["shard"]
+                if key not in learners:
+                    learners[key] = Learner(shared.value[model].copy())
+                kept = np.isin(row["folds"], sorted(seen[model]))
+                toxic = np.array(row["toxic"], bool)[kept]
+                learners[key].learn(read_block(row).only(kept), toxic, np.where(toxic, *weights[model][::-1]))
+        for key, learner in learners.items():
+            yield [(*key, *found) for found in learner.result()]
+
+    trained = arrow_rows(reduce(DataFrame.union, parts), "model int, shard int, chunk int, at binary, n binary, content binary", rows)
+    for row in trained.groupBy("model", "chunk").applyInArrow(averaged, "model int, chunk int, at binary, content binary").toArrow().to_pylist():
+        net, at = nets[row["model"]], np.frombuffer(row["at"], np.int64)
+        values = np.frombuffer(row["content"], np.float32).reshape(len(at), -1)
+        if row["chunk"] < 0:
+            net.set_others(values[0])
+        else:
+            net.table[at] = values
+    shared.destroy()
+
+
+def averaged(rows: pa.Table) -> pa.Table:
+    """The mean of some parameters over the shards, weighted by ``n``."""
+    total, weight = {}, defaultdict(int)
+    rows = rows.sort_by("shard").to_pylist()
+    for row in rows:
+        at, n = np.frombuffer(row["at"], np.int64).tolist(), np.frombuffer(row["n"], np.int64)
+        values = n[:, None] * np.frombuffer(row["content"], np.float32).reshape(len(at), -1).astype(np.float64)
+        for k, value, count in zip(at, values, n.tolist()):
+            total[k] = total[k] + value if k in total else value
+            weight[k] += count
+    content = np.array([total[k] / weight[k] for k in total], np.float32)
+    return pa.table({
+        "model": pa.array([rows[0]["model"]], pa.int32()), "chunk": pa.array([rows[0]["chunk"]], pa.int32()),
+        "at": [np.array(list(total), np.int64).tobytes()], "content": [content.tobytes()],
+    })
+
+
+def unseen_logits(blocks: DataFrame, nets: list[Network], languages: Languages) -> DataFrame:
+    """``name, logit, toxic`` of each training document: its guessed language, and its logit by the model that left out its fold."""
+    shared = blocks.sparkSession.sparkContext.broadcast((nets[:FOLDS], languages))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        nets, languages = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                block, folds = read_block(row), np.array(row["folds"])
+                found = np.zeros(len(folds))
+                for fold in set(row["folds"]):
+                    found[folds == fold] = batch_logits(nets[fold], block.only(folds == fold))
+                yield list(zip(languages.guess(block), found.tolist(), row["toxic"]))
+
+    return arrow_rows(blocks, "name string, logit double, toxic boolean", rows)
+
+
+def spark_thresholds(scored: DataFrame) -> dict[str | None, float]:
+    """``thresholds`` of a table of ``name, logit, toxic`` of any size: classes are counted along the logits of each language."""
+    group = F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), "name")))).alias("g")
+    values = save(scored.select(group, "logit", "toxic").groupBy("g", "logit").agg(
+        F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")
+    ), "logits")
+    ends = values.groupBy("g").agg(F.sum("t").alias("toxic"), F.sum("c").alias("clean"), F.max("logit").alias("last"))
+    ends = ends.filter((F.col("g") == "*") | (F.least("toxic", "clean") >= ENOUGH))
+    behind = ends.select("g", (F.col("last") + 1).alias("logit"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
+    values = values.join(ends.select("g"), "g", "left_semi").union(behind).withColumn("one", F.lit(1).cast("long"))
+    placed = running(values, "g", ["logit"], {"k": ("sum", "one"), "t_upto": ("sum", "t"), "c_upto": ("sum", "c")})
+    # The gain of a threshold below this value, times the rows of both classes: whole numbers, so equal gains are equal.
+    gain = F.expr("toxic - t_upto + t") * F.col("clean") - F.lit(PRICE) * F.expr("clean - c_upto + c") * F.col("toxic")
+    placed = save(placed.join(ends, "g").select("g", "k", "logit", gain.cast("double").alias("gain")), "gains")
+    best = placed.join(placed.groupBy("g").agg(F.max("gain").alias("gain")), ["g", "gain"])
+    before = placed.select("g", (F.col("k") + 1).alias("k"), F.col("logit").alias("before"))
+    gaps = best.join(before, ["g", "k"], "left").withColumn("before", F.expr("coalesce(before, logit - 1)"))
+    widest = gaps.groupBy("g").agg(F.max(F.struct(F.expr("logit - before"), -F.col("k"), F.expr("(logit + before) / 2").alias("cut"))).alias("x"))
+    return {None if r["g"] == "*" else r["g"][1:]: r["cut"] for r in widest.select("g", "x.cut").collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, part: str = "true") -> Model | None:
+    """The model learned from all labelled rows of ``docs`` in ``part``; none without labels of both classes.
+
+    The model and those of the folds are trained side by side. Blocks are kept over the rounds.
+    """
+    kept = training_blocks(docs, labels, part).persist(StorageLevel.DISK_ONLY)
+    blocks = kept.coalesce(max(1, kept.rdd.getNumPartitions()))  # of no known partitioning, so that a union keeps all partitions apart
+    try:
+        classes = np.zeros((FOLDS, 2), np.int64)
+        rows = blocks.select(F.explode(F.arrays_zip("folds", "toxic")).alias("x")).groupBy("x.folds", "x.toxic").count()
+        for fold, toxic, n in rows.collect():
+            classes[fold, int(toxic)] = n
+        if not classes.sum(0).all():
+            return None
+        seen = [set(range(FOLDS)) - {fold} for fold in range(FOLDS + 1)]
+        seen = [folds if classes[sorted(folds)].sum(0).all() else set(range(FOLDS)) for folds in seen]
+        weights = [tuple(0.5 * classes[sorted(folds)].sum() / classes[sorted(folds)].sum(0)) for folds in seen]
+        nets = [Network.new(np.random.default_rng(SEED)) for _ in seen]
+        for epoch in range(EPOCHS):
+            trained_round(blocks, nets, seen, weights, epoch)
+        languages = counted_languages(blocks)
+        return Model(nets[FOLDS], languages, spark_thresholds(unseen_logits(blocks, nets, languages)))
+    finally:
+        kept.unpersist()
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

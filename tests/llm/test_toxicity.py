@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colscope.llm import toxicity
 from colscope.llm.queries import QUERIES
-from colscope.llm.toxicity import Network, Words, fit, logits, score, threshold, thresholds, train
+from colscope.llm.toxicity import Network, Words, fit, logits, score, spark_thresholds, threshold, thresholds, train
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -135,3 +135,36 @@ def test_training_is_repeatable():
     assert np.array_equal(one.table, two.table) and one.bias == two.bias
     z = logits(one, rows, numbers)
     assert z[labels].min() > z[~labels].max()
+
+
+def test_all_labelled_documents_count(spark):
+    """Each language has one document only, among more than a sample held before; one text is very long."""
+    texts = [(k, f"word{k} fine day", f"l{k}" if k % 100 == 0 else "en") for k in range(5000)]
+    texts += [(k, "you idiot scum", "en") for k in range(5000, 5100)] + [(6000, "kind " * 50_000, "long")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "CAST(text LIKE '%idiot%' AS int) AS toxic")
+    model = fit(docs, labels)
+    assert set(model.languages.names) == {lang for _, _, lang in texts}
+    long = model.languages.logs[toxicity.rows_of("kind")[0]]
+    assert model.languages.names[int(long.argmax())] == "long"
+
+
+def test_shards_are_averaged(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 300)
+    texts = [f"{'you idiot scum' if k % 3 == 0 else 'a fine day'} n{k}" for k in range(1500)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(1500)], LABELS)
+    docs = make_docs(*texts)
+    model = fit(docs, labels)
+    assert [r["predicted"] for r in score(docs, model).orderBy("doc_id").collect()] == [int(k % 3 == 0) for k in range(1500)]
+    again = fit(docs.repartition(3), labels)
+    assert np.allclose(model.network.table, again.network.table, atol=1e-5) and model.thresholds == pytest.approx(again.thresholds, abs=1e-3)
+
+
+def test_thresholds_of_a_table(spark):
+    rng = np.random.default_rng(8)
+    toxic = rng.random(800) < 0.4
+    logit = (rng.normal(0, 1, 800) + toxic).round(2)
+    names = rng.choice(np.array(["en", "de", "=", "*", None], object), 800, p=[0.5, 0.3, 0.17, 0.02, 0.01]).tolist()
+    scored = spark.createDataFrame(list(zip(names, logit.tolist(), toxic.tolist())), "name string, logit double, toxic boolean")
+    assert spark_thresholds(scored) == pytest.approx(thresholds(logit, toxic, names), abs=1e-12)
+    assert spark_thresholds(spark.createDataFrame([(None, 1.0, True), (None, 1.0, False)], scored.schema)) == {None: 1.5}
