@@ -12,8 +12,9 @@ batches, then the shards' parameters are averaged: rows of the embedding table b
 documents. Only parameters are shuffled between rounds; the driver holds averages, of fixed size.
 
 Thresholds are calibrated by language, but the ``lang`` of a document is never asked for when it is scored: a
-naive Bayes model of words, counted over the same training rows, guesses the language from the text. Training is repeated
-on ``FOLDS`` parts; the logits of all rows, each by the model that has not seen it, give the threshold of a language, the one
+naive Bayes model of words, counted over the same training rows, guesses the language from the text. ``FOLDS`` networks
+are trained, each without one part of the rows, and score together by their mean logit: every row teaches all of them but one. The
+logits of all rows, each by the network that has not seen it, give the threshold of a language, the one
 that parts its toxic and clean rows best. With fewer than ``ENOUGH`` rows of either class it is the threshold of all
 rows. The score is the logistic function of the logit above the threshold, so 0.5 is the cutoff in every language.
 
@@ -28,11 +29,12 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from colscope.llm.common import decoded, id_and_text, map_rows, save
+from colscope.llm.common import decoded, id_and_text, map_rows, mix, save
 from colscope.llm.ordered import running
 
-WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 7)
 ROWS, SIZE = 1 << 16, 16
 WIDTHS, FILTERS, REGION = (1, 2, 3, 4), 8, 64
@@ -56,22 +57,71 @@ SHARD, FEW = 60_000, 8_000_000
 EPOCHS, BATCH, RATE, FOLDS, ENOUGH, SEED = 6, 32, 0.01, 3, 12, 5
 #: What the share of clean rows above a threshold costs against the share of toxic ones.
 PRICE = 4.0
-#: Regions that are looked at together, beginnings whose rows a process remembers, and table rows that are averaged together.
-RUN, MEMO, CHUNK = 64, 1 << 17, 1024
+#: Regions that are looked at together, characters that are, about, and table rows that are averaged together.
+RUN, STRETCH, CHUNK = 64, 1 << 18, 1024
+#: Odd, so that it has an inverse: characters are digits to this base in the hash of a word.
+BASE = 0x9E3779B97F4A7C15
 
 
-def rows_of(word: str) -> tuple[int, ...]:
-    """Rows of the embedding table for a word: its own first, then those of its beginnings."""
-    return xxhash.xxh3_64_intdigest(word.encode()) % ROWS, *[row_of_start(n, word[:n]) for n in PREFIXES]
+@lru_cache(1)
+def word_characters() -> np.ndarray:
+    """Whether a code point stands in words."""
+    found = np.zeros(sys.maxunicode + 1, bool)
+    found[[match.start() for match in re.finditer(r"\w", "".join(map(chr, range(len(found)))))]] = True
+    return found
+
 
+@lru_cache(1)
+def kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return made_powers(STRETCH)
 
-@lru_cache(MEMO)
-def row_of_start(length: int, start: str) -> int:
-    return xxhash.xxh3_64_intdigest(b"%d:%s" % (length, start.encode())) % ROWS
+
+def made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``BASE`` and of its inverse, modulo 2**64."""
+    found = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        powers = np.full(n, base, np.uint64)
+        powers[:1] = 1
+        found.append(np.multiply.accumulate(powers))
+    return found[0], found[1]
+
+
+def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts as numbers from 1 on, how many each text has, and the table rows of the numbers.
+
+    The rows of a word are its own and those of its beginnings, all by one running polynomial hash of the characters.
+    """
+    texts = [text.lower() for text in texts]
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    word_characters().take(codes, out=inside[1:-1], mode="clip")
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    behind = np.cumsum([len(text) + 1 for text in texts])
+    counts = np.diff(np.searchsorted(starts, behind), prepend=0)
+    powers, inverse = kept_powers() if len(codes) <= STRETCH else made_powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers[: len(codes)], out=sums[1:])
+    whole = (sums.take(ends) - sums.take(starts)) * inverse.take(starts)
+    order = np.argsort(whole)
+    new = np.diff(whole.take(order), prepend=np.uint64(0)) != 0
+    new[:1] = True
+    numbers = np.empty(len(whole), np.int64)
+    numbers[order] = np.cumsum(new)
+    first = order[new]
+    whole, starts, ends = whole[first], starts[first], ends[first]
+    begun = [(sums[np.minimum(starts + n, ends)] - sums[starts]) * inverse[starts] for n in PREFIXES]
+    rows = [mix(key + np.uint64(n * BASE % (1 << 64))) % np.uint64(ROWS) for n, key in zip((0, *PREFIXES), (whole, *begun))]
+    return numbers, counts, np.stack(rows, 1).astype(np.uint16)
+
+
+def rows_of(word: str) -> tuple[int, ...]:
+    """Rows of the embedding table for a word: its own first, then those of its beginnings."""
+    return tuple(spelled([word])[2][0].tolist())
 
 
 class Words:
-    """Numbers for the words of one run of texts, from 1 on; 0 is the space after a text."""
+    """Numbers for words that are given one by one, from 1 on; 0 is the space after a text."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = defaultdict(count(1).__next__)
@@ -80,15 +130,7 @@ class Words:
         return np.fromiter(map(self.number.__getitem__, words), np.int64)
 
     def rows(self) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(rows_of, self.number)), np.uint16).reshape(-1, 1 + len(PREFIXES))
-
-
-def regions(words: np.ndarray) -> np.ndarray:
-    """The words of a text in rows of ``REGION`` words, each with the ``REACH`` words after it."""
-    count = -(-len(words) // REGION)
-    padded = np.zeros(count * REGION + REACH, words.dtype)
-    padded[: len(words)] = words
-    return np.lib.stride_tricks.sliding_window_view(padded, REGION + REACH)[::REGION]
+        return np.array([rows_of(word) for word in self.number], np.uint16).reshape(-1, 1 + len(PREFIXES))
 
 
 @dataclass
@@ -101,13 +143,28 @@ class Batch:
 
     @classmethod
     def of(cls, texts: list[np.ndarray], rows: np.ndarray) -> Batch:
-        parts = [regions(words.astype(np.uint32)) for words in texts if len(words)]
-        sizes = np.array([-(-len(words) // REGION) for words in texts], np.int64)
-        return cls(rows, np.concatenate([np.zeros((0, REGION + REACH), np.uint32), *parts]), sizes)
+        return cls.laid(np.concatenate([np.zeros(0, np.int64), *texts]), np.array([len(words) for words in texts], np.int64), rows)
+
+    @classmethod
+    def laid(cls, words: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> Batch:
+        """Of all words in a row: rows of ``REGION`` words of one text, each with the ``REACH`` words after it."""
+        sizes = -(-counts // REGION)
+        padded = np.zeros((sizes.sum() + 1) * REGION + REACH, np.uint32)
+        shift = (np.cumsum(sizes) - sizes) * REGION - (np.cumsum(counts) - counts)
+        padded[np.arange(len(words)) + np.repeat(shift, counts)] = words
+        parts = np.lib.stride_tricks.sliding_window_view(padded, REGION + REACH)[:-1:REGION].copy()
+        parts[np.cumsum(sizes)[sizes > 0] - 1, REGION:] = 0  # behind a text is no word of the next
+        return cls(rows, parts, sizes)
 
     def only(self, kept: np.ndarray) -> Batch:
-        """Some of the texts."""
-        return Batch(self.rows, self.parts[np.repeat(kept, self.sizes)], self.sizes[kept])
+        """Some of the texts, with their words alone."""
+        if kept.all():
+            return self
+        parts = self.parts[np.repeat(kept, self.sizes)]
+        used = np.zeros(len(self.rows) + 1, bool)
+        used[0] = used[parts.ravel()] = True
+        numbers = (np.cumsum(used) - 1).astype(np.uint32)
+        return Batch(self.rows[used[1:]], numbers[parts], self.sizes[kept])
 
     @property
     def worded(self) -> np.ndarray:
@@ -163,31 +220,60 @@ class Network:
         blank = np.zeros((SIZE, FILTERS), self.table.dtype)
         return [np.concatenate([w[k] if k < len(w) else blank for w in self.filters], 1) for k in range(max(WIDTHS))]
 
-    def projected(self, embedded: np.ndarray) -> list[np.ndarray]:
-        """For each place in a filter, what each word adds there. No filter begins behind a text."""
-        found = [embedded @ weights for weights in self.placed()]
-        found[0][0] = -np.inf
-        return found
-
 
-def pooled(projected: list[np.ndarray], parts: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The maximum of each filter in each region and, on demand, the first place that has it."""
-    n = projected[0].shape[1]
-    tops, first = np.empty((len(parts), n), projected[0].dtype), np.empty((len(parts) if places else 0, n), np.int64)
+def pooled(embedded: np.ndarray, placed: list[np.ndarray], parts: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The maximum of each filter in each region and, on demand, the first place that has it. No filter begins behind a text."""
+    weights, n, size = np.concatenate(placed), placed[0].shape[1], embedded.shape[1]
+    tops, first = np.empty((len(parts), n), embedded.dtype), np.empty((len(parts) if places else 0, n), np.int64)
     for start in range(0, len(parts), RUN):
-        words = parts[start : start + RUN].ravel().astype(np.int64)
-        found = projected[0].take(words, 0, mode="clip")
-        for k in range(1, len(projected)):
-            found[:-k] += projected[k].take(words[k:], 0, mode="clip")  # what this adds across regions lies behind REGION
-        found = found.reshape(-1, REGION + REACH, n)[:, :REGION]
-        top = found.max(1, out=tops[start : start + RUN])
+        words = parts[start : start + RUN]
+        met = embedded.take(words.ravel().astype(np.int64), 0, mode="clip").reshape(len(words), -1)
+        step = size * met.itemsize
+        met = np.ndarray((len(words), REGION, len(weights)), met.dtype, met, 0, (met.strides[0], step, met.itemsize))  # each word with those after it
+        found = (met.reshape(-1, len(weights)) @ weights).reshape(-1, REGION, n)
+        last = np.flatnonzero(words[:, REGION - 1] == 0)
+        found[last] = np.where(words[last, :REGION, None] == 0, -np.inf, found[last])
+        halves = [found]
+        while (half := halves[-1].shape[1] // 2) > 0:
+            halves.append(np.maximum(halves[-1][:, :half], halves[-1][:, half:]))
+        top = tops[start : start + RUN] = halves.pop()[:, 0]
         if places:
-            line, at = np.divmod(np.flatnonzero(found == top[:, None])[::-1], REGION * n)
-            place, column = np.divmod(at, n)
-            first[start + line, column] = place
+            first[start : start + RUN] = first_places(halves, top)
     return tops, first
 
 
+def first_places(halves: list[np.ndarray], top: np.ndarray) -> np.ndarray:
+    """The first place of each maximum, from the last pair of halves to the first: the front one, if it has the maximum."""
+    n = top.shape[1]
+    line, column = np.arange(len(top))[:, None], np.arange(n)
+    place = np.zeros(top.shape, np.int64)
+    for values in reversed(halves):
+        front = values.ravel().take((line * values.shape[1] + place) * n + column, mode="clip")
+        place += (front != top) * (values.shape[1] // 2)
+    return place
+
+
+def set_rows(array: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """``array[at] = values``, each row as one item."""
+    item = np.dtype((np.void, array.itemsize * array.shape[1]))
+    array.view(item)[:, 0][at] = values.view(item)[:, 0]
+
+
+def added(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat`` over rows; most groups are single rows."""
+    found, sizes = values.take(firsts, 0, mode="clip"), np.diff(firsts, append=len(values))
+    for k in (1, 2, 3):  # most of the rest are small
+        some = np.flatnonzero((sizes > k) & (sizes <= 4))
+        set_rows(found, some, found.take(some, 0, mode="clip") + values.take(firsts[some] + k, 0, mode="clip"))
+    many = np.flatnonzero(sizes > 4)
+    if len(many):
+        sizes = sizes[many]
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(firsts[many] - starts, sizes) + np.arange(sizes.sum())
+        set_rows(found, many, np.add.reduceat(values.take(at, 0, mode="clip"), starts))
+    return found
+
+
 class Adam:
     """Steps of Adam for one array, or for some of its rows."""
 
@@ -196,7 +282,17 @@ class Adam:
 
     def step(self, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
         self.count += 1
-        mean, square, values = (x if at is None else x.take(at, 0, mode="clip") for x in (self.mean, self.square, self.array))
+        if at is None:
+            self._step(gradient, self.mean, self.square, self.array)
+        else:
+            for start in range(0, len(at), CHUNK):
+                some = at[start : start + CHUNK]
+                new = [x.take(some, 0, mode="clip") for x in (self.mean, self.square, self.array)]
+                self._step(gradient[start : start + CHUNK], *new)
+                for array, values in zip((self.mean, self.square, self.array), new):
+                    set_rows(array, some, values)
+
+    def _step(self, gradient: np.ndarray, mean: np.ndarray, square: np.ndarray, values: np.ndarray) -> None:
         mean *= 0.9
         mean += 0.1 * gradient
         square *= 0.99
@@ -204,8 +300,6 @@ class Adam:
         change = np.sqrt(square / (1 - 0.99**self.count))
         change += 1e-7
         values -= np.divide(RATE / (1 - 0.9**self.count) * mean, change, out=change)
-        if at is not None:
-            self.mean[at], self.square[at], self.array[at] = mean, square, values
 
 
 def adams(net: Network) -> list[Adam]:
@@ -240,7 +334,7 @@ def learn(net: Network, steps: list[Adam], batch: Batch, labels: np.ndarray, wei
     if not len(worded):
         return worded
     embedded, filters = net.embedded(batch.rows), net.placed()
-    tops, places = pooled(net.projected(embedded), parts, True)
+    tops, places = pooled(embedded, filters, parts, True)
     features = batch.features(tops)
     logit = features @ net.out + net.bias
     error = ((1 / (1 + np.exp(-logit)) - labels) * weight / len(worded)).astype(kind)
@@ -252,9 +346,10 @@ def learn(net: Network, steps: list[Adam], batch: Batch, labels: np.ndarray, wei
     at_top = tops == features[:, :n][text]
     at_top &= np.cumsum(at_top, 0) - (np.cumsum(at_top, 0) - at_top)[starts][text] == 1
     down += np.where(at_top, reach[:, :n][text], 0)
-    line, column = np.arange(len(parts))[:, None], np.arange(n)
-    owns = [np.flatnonzero(np.repeat(np.array(WIDTHS) > k, FILTERS)) for k in range(max(WIDTHS))]
-    met = [parts[line, places[:, own] + k] for k, own in enumerate(owns)]
+    column = np.arange(n)
+    owns = [column[sum(width <= k for width in WIDTHS) * FILTERS :] for k in range(max(WIDTHS))]
+    places += np.arange(len(parts))[:, None] * parts.shape[1]
+    met = [parts.ravel().take(places[:, own[0] :] + k, mode="clip").astype(np.int64) for k, own in enumerate(owns)]
     hit = np.zeros(len(embedded), bool)  # only words at a maximum have a gradient
     for numbers in met:
         hit[numbers.ravel()] = True
@@ -267,8 +362,8 @@ def learn(net: Network, steps: list[Adam], batch: Batch, labels: np.ndarray, wei
     gradients = [np.zeros_like(weights) for weights in net.filters]
     for k, (own, numbers) in enumerate(zip(owns, met)):
         at = index[numbers] * len(own) + column[: len(own)]
-        flow = np.bincount(at.ravel(), down[:, own].ravel(), len(embedded) * len(own)).reshape(-1, len(own)).astype(kind)
-        words += flow @ filters[k][:, own].T
+        flow = np.bincount(at.ravel(), down[:, own[0] :].ravel(), len(embedded) * len(own)).reshape(-1, len(own)).astype(kind)
+        words += flow @ filters[k][:, own[0] :].T
         gradient = embedded.T @ flow
         for w, width in enumerate(WIDTHS):
             if width > k:
@@ -280,7 +375,7 @@ def learn(net: Network, steps: list[Adam], batch: Batch, labels: np.ndarray, wei
     firsts = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
     touched = flat[order[firsts]].astype(np.int64)
     if len(touched):
-        steps[0].step(np.add.reduceat(words.take(1 + order // rows.shape[1], 0, mode="clip"), firsts), touched)
+        steps[0].step(added(words.take(1 + order // rows.shape[1], 0, mode="clip"), firsts), touched)
     for step, gradient in zip(steps[1:-1], gradients):
         step.step(gradient)
     steps[-1].step(features.T @ error + 1e-3 * net.out)
@@ -296,11 +391,27 @@ def logits(net: Network, rows: np.ndarray, texts: list[np.ndarray]) -> np.ndarra
 def batch_logits(net: Network, batch: Batch) -> np.ndarray:
     found = np.full(len(batch.sizes), net.bias, np.float64)
     if len(batch.worded):
-        tops, _ = pooled(net.projected(net.embedded(batch.rows)), batch.parts)
+        tops, _ = pooled(net.embedded(batch.rows), net.placed(), batch.parts)
         found[batch.worded] += batch.features(tops) @ net.out
     return found
 
 
+@dataclass
+class Committee:
+    """The networks that left out one fold each. Every labelled document has taught all of them but one."""
+
+    members: list[Network]
+
+    @property
+    def table(self) -> np.ndarray:
+        """The embeddings of all members side by side."""
+        return np.concatenate([net.table for net in self.members], 1)
+
+    def logits(self, batch: Batch) -> np.ndarray:
+        """The mean logit of the members."""
+        return np.mean([batch_logits(net, batch) for net in self.members], 0)
+
+
 class Languages:
     """Naive Bayes of words: the likeliest language of a text by the buckets of its words."""
 
@@ -313,10 +424,10 @@ class Languages:
         """None for a wordless text, or where no language is known."""
         found: list[str | None] = [None] * len(batch.sizes)
         if self.names and len(batch.worded):
-            logs = np.concatenate([np.zeros((1, len(self.names)), np.float32), self.logs[batch.rows[:, 0]]])
-            runs = [batch.parts[start : start + RUN, :REGION] for start in range(0, len(batch.parts), RUN)]
-            sums = np.add.reduceat(np.concatenate([logs[run].sum(1, dtype=np.float64) for run in runs]), batch.starts)
-            for k, best in zip(batch.worded.tolist(), sums.argmax(1).tolist()):
+            logs = np.concatenate([np.zeros((1, len(self.names)), np.float32), self.logs[batch.rows[:, 0]]]).T.copy()
+            words = batch.parts[:, :REGION].astype(np.int64)
+            sums = [np.add.reduceat(log.take(words, mode="clip").sum(1, dtype=np.float64), batch.starts) for log in logs]
+            for k, best in zip(batch.worded.tolist(), np.argmax(sums, 0).tolist()):
                 found[k] = self.names[best]
         return found
 
@@ -347,18 +458,32 @@ def thresholds(logit: np.ndarray, toxic: np.ndarray, guessed: list[str | None])
 class Model:
     """All that scoring needs: of fixed size but for the number of languages."""
 
-    network: Network
+    network: Committee
     languages: Languages
     thresholds: dict[str | None, float]
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
         """The score and the guessed language of each text."""
-        words = Words()
-        numbers = [words.of(WORD.findall(text.lower())) for text in texts]
-        batch = Batch.of(numbers, words.rows())
-        guessed = self.languages.guess(batch)
-        cut = np.array([self.thresholds.get(name, self.thresholds[None]) for name in guessed])
-        return 1 / (1 + np.exp(cut - batch_logits(self.network, batch))), guessed
+        above, guessed = [np.zeros(0)], []
+        for some in stretches(texts):
+            batch = Batch.laid(*spelled(some))
+            names = self.languages.guess(batch)
+            above.append(self.network.logits(batch) - [self.thresholds.get(name, self.thresholds[None]) for name in names])
+            guessed += names
+        return 1 / (1 + np.exp(-np.concatenate(above))), guessed
+
+
+def stretches(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of up to ``STRETCH`` characters; a longer text is a run of its own."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) + 1 > STRETCH:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text) + 1
+    if some:
+        yield some
 
 
 BLOCKS = "shard int, rows binary, parts binary, sizes array<int>, folds array<int>, toxic array<boolean>, langs array<string>"
@@ -366,10 +491,8 @@ BLOCKS = "shard int, rows binary, parts binary, sizes array<int>, folds array<in
 
 def block(shard: int, texts: list[str], toxic: list[bool], langs: list[str | None]) -> tuple:
     """A row of ``BLOCKS``. Equal texts share a fold."""
-    words = Words()
-    numbers = [words.of(WORD.findall(text.lower())) for text in texts]
     folds = [xxhash.xxh3_64_intdigest(text) % FOLDS for text in texts]
-    batch = Batch.of(numbers, words.rows())
+    batch = Batch.laid(*spelled(texts))
     parts = batch.parts.astype(part_type(len(batch.rows)))
     return shard, batch.rows.tobytes(), parts.tobytes(), batch.sizes.tolist(), folds, toxic, langs
 
@@ -512,24 +635,26 @@ def trained_round(blocks: DataFrame, nets: list[Network], seen: list[set[int]],
 
 def averaged(rows: pa.Table) -> pa.Table:
     """The mean of some parameters over the shards, weighted by ``n``."""
-    total, weight = {}, defaultdict(int)
     rows = rows.sort_by("shard").to_pylist()
+    total, weight = [], []
+    at, place = np.unique(np.concatenate([np.frombuffer(row["at"], np.int64) for row in rows]), return_inverse=True)
     for row in rows:
-        at, n = np.frombuffer(row["at"], np.int64).tolist(), np.frombuffer(row["n"], np.int64)
-        values = n[:, None] * np.frombuffer(row["content"], np.float32).reshape(len(at), -1).astype(np.float64)
-        for k, value, count in zip(at, values, n.tolist()):
-            total[k] = total[k] + value if k in total else value
-            weight[k] += count
-    content = np.array([total[k] / weight[k] for k in total], np.float32)
+        n, place_here, place = np.frombuffer(row["n"], np.int64)[:, None], *np.split(place, [len(row["at"]) // 8])
+        values = n * np.frombuffer(row["content"], np.float32).reshape(len(n), -1).astype(np.float64)
+        if not len(total):
+            total, weight = np.zeros((len(at), values.shape[1])), np.zeros((len(at), 1))
+        total[place_here] += values  # a shard has each row once
+        weight[place_here] += n
+    content = (total / weight).astype(np.float32)
     return pa.table({
         "model": pa.array([rows[0]["model"]], pa.int32()), "chunk": pa.array([rows[0]["chunk"]], pa.int32()),
-        "at": [np.array(list(total), np.int64).tobytes()], "content": [content.tobytes()],
+        "at": [at.tobytes()], "content": [content.tobytes()],
     })
 
 
 def unseen_logits(blocks: DataFrame, nets: list[Network], languages: Languages) -> DataFrame:
     """``name, logit, toxic`` of each training document: its guessed language, and its logit by the model that left out its fold."""
-    shared = blocks.sparkSession.sparkContext.broadcast((nets[:FOLDS], languages))
+    shared = blocks.sparkSession.sparkContext.broadcast((nets, languages))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         nets, languages = shared.value
@@ -569,7 +694,7 @@ def spark_thresholds(scored: DataFrame) -> dict[str | None, float]:
 def fit(docs: DataFrame, labels: DataFrame, part: str = "true") -> Model | None:
     """The model learned from all labelled rows of ``docs`` in ``part``; none without labels of both classes.
 
-    The model and those of the folds are trained side by side. Blocks are kept over the rounds.
+    The networks of the committee are trained side by side. Blocks are kept over the rounds.
     """
     kept = training_blocks(docs, labels, part).persist(StorageLevel.DISK_ONLY)
     blocks = kept.coalesce(max(1, kept.rdd.getNumPartitions()))  # of no known partitioning, so that a union keeps all partitions apart
@@ -580,14 +705,14 @@ def fit(docs: DataFrame, labels: DataFrame, part: str = "true") -> Model | None:
             classes[fold, int(toxic)] = n
         if not classes.sum(0).all():
             return None
-        seen = [set(range(FOLDS)) - {fold} for fold in range(FOLDS + 1)]
+        seen = [set(range(FOLDS)) - {fold} for fold in range(FOLDS)]
         seen = [folds if classes[sorted(folds)].sum(0).all() else set(range(FOLDS)) for folds in seen]
         weights = [tuple(0.5 * classes[sorted(folds)].sum() / classes[sorted(folds)].sum(0)) for folds in seen]
         nets = [Network.new(np.random.default_rng(SEED)) for _ in seen]
         for epoch in range(EPOCHS):
             trained_round(blocks, nets, seen, weights, epoch)
         languages = counted_languages(blocks)
-        return Model(nets[FOLDS], languages, spark_thresholds(unseen_logits(blocks, nets, languages)))
+        return Model(Committee(nets), languages, spark_thresholds(unseen_logits(blocks, nets, languages)))
     finally:
         kept.unpersist()
 

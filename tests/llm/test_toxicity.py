@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -168,3 +169,34 @@ def test_thresholds_of_a_table(spark):
     scored = spark.createDataFrame(list(zip(names, logit.tolist(), toxic.tolist())), "name string, logit double, toxic boolean")
     assert spark_thresholds(scored) == pytest.approx(thresholds(logit, toxic, names), abs=1e-12)
     assert spark_thresholds(spark.createDataFrame([(None, 1.0, True), (None, 1.0, False)], scored.schema)) == {None: 1.5}
+
+
+def test_words_by_plain_pattern():
+    """Words, their counts and rows from characters in one go, as a pattern and single words give them."""
+    texts = ["", "Idiot, idiot! IDIOT_2", "...", "\u0130\u0130 Stra\u00dfe \u00c9T\u00c9 a\u0300b x\u0663 \U0001d7d8\U0001f600y", "a ab abc abcdefgh", "", "z" * (toxicity.STRETCH + 9) + " z"]
+    for some in (texts, texts[:1], []):
+        plain = [re.findall(r"\w+", text.lower()) for text in some]
+        numbers, counts, rows = toxicity.spelled(some)
+        flat = [word for words in plain for word in words]
+        assert counts.tolist() == [len(words) for words in plain]
+        assert len({*zip(numbers.tolist(), flat)}) == len(set(flat)) == len(rows)
+        assert all(tuple(rows[n - 1]) == toxicity.rows_of(word) for n, word in zip(numbers.tolist(), flat))
+
+
+def test_every_document_teaches_the_networks_that_score(spark, make_docs):
+    """As many networks as folds; each leaves out one fold, and the score is of their mean logit."""
+    texts = [f"{'you idiot scum' if k % 3 == 0 else 'a fine day'} n{k}" for k in range(300)]
+    model = fit(make_docs(*texts), spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], LABELS))
+    members = model.network.members
+    assert len(members) == toxicity.FOLDS
+    numbers, counts, rows = toxicity.spelled(texts)
+    batch = toxicity.Batch.laid(numbers, counts, rows)
+    mean = sum(toxicity.batch_logits(net, batch) for net in members) / len(members)
+    found, names = model.scores(texts)
+    cut = np.array([model.thresholds.get(name, model.thresholds[None]) for name in names])
+    assert found == pytest.approx(1 / (1 + np.exp(cut - mean)), abs=1e-6)
+    start = Network.new(np.random.default_rng(toxicity.SEED)).table
+    taught = [(net.table != start).any(1) for net in members]
+    own = rows[:, 0]
+    seen = np.sum([t[own] for t in taught], 0)
+    assert (seen >= toxicity.FOLDS - 1).mean() > 0.9  # but for words that never have a maximum
